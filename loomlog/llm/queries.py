@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import leakage, mixture, pii, spans
+from . import conversations, leakage, mixture, pii, spans
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +18,10 @@ def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact(table(spark, folder, "claude_session"), table(spark, folder, "name_hints"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.conversations(table(spark, folder, "claude_session"), table(spark, folder, "sources")).select("session_id", "turn_no", "record_id")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -42,5 +46,5 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_share)}
 SQL: dict[str, str] = {}
