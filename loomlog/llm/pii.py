@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import settle
+
 #: Name parts that may be sent to every task.
 MOST_HINTS = 100_000
 #: Distinct working directories a task remembers.
@@ -405,10 +407,10 @@ def assign(found: DataFrame) -> DataFrame:
 def entities(claude_session: DataFrame, name_hints: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """The detected values with their settled surrogates.
 
-    The surrogates are settled on distinct entities and joined back, so an entity that holds a third of all
+    Texts are searched once; the values are written to the shared folder. The surrogates are settled on distinct entities and joined back, so an entity that holds a third of all
     values is one row while collisions are checked, and an ordinary skewed key in the join.
     """
-    found = detect(claude_session, name_hints, key)
+    found = settle(detect(claude_session, name_hints, key), "found")
     return found.join(assign(found), ["pii_kind", "entity"])
 
 
