@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,13 @@ def settle(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; larger sides are left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_PLAIN = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+_PAIRS = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL of plain columns and ``array<struct<path:string,value:string>>``; needs no session."""
+    columns = [c.strip().split(" ", 1) for c in ddl.replace("array<struct<path:string,value:string>>", "pairs").split(",")]
+    return pa.schema([(name, _PAIRS if kind == "pairs" else _PLAIN[kind]) for name, kind in columns])
