@@ -50,12 +50,17 @@ def copy_keys(claude_session: DataFrame, sources: DataFrame) -> DataFrame:
     A record with an identifier: session and identifier. One without (null or blank): session, type,
     instant, and both texts trimmed; two unreadable times count as the same. A null session is one session.
     """
-    df = with_instant(claude_session, "written_at", sources)
     blank = lambda c: F.coalesce(c, F.lit(""))
+    named = normal_id("uuid").isNotNull()
     by_id = [F.lit("id"), blank(F.col("session_id")), normal_id("uuid")]
-    by_text = [F.lit("text"), blank(F.col("session_id")), blank(F.col("record_type")), blank(F.col("instant_us").cast("string")), blank(bare("item_text")), blank(bare("item_content"))]
-    k = lambda *salt: F.when(normal_id("uuid").isNotNull(), F.xxhash64(*salt, *by_id)).otherwise(F.xxhash64(*salt, *by_text))
-    return df.withColumn("k1", k()).withColumn("k2", k(F.lit("second")))
+    by_text = [F.lit("text"), blank(F.col("session_id")), blank(F.col("record_type")), blank(bare("item_text")), blank(bare("item_content"))]
+    k = lambda *salt: F.when(named, F.xxhash64(*salt, *by_id)).otherwise(F.xxhash64(*salt, *by_text))
+    # Texts are hashed before the join with the sources, so they don't travel.
+    df = claude_session.withColumns({"__k1": k(), "__k2": k(F.lit("second")), "__named": named})
+    df = with_instant(df, "written_at", sources)
+    at = blank(F.col("instant_us").cast("string"))
+    whole = lambda c: F.when(F.col("__named"), F.col(c)).otherwise(F.xxhash64(c, at))
+    return df.withColumns({"k1": whole("__k1"), "k2": whole("__k2")}).drop("__k1", "__k2", "__named")
 
 
 _ROW = "record_id long, k1 long, k2 long, received_us long, batch_no long"
@@ -199,7 +204,7 @@ class IdentifierIndex:
     def ingest(self, keyed: DataFrame) -> DataFrame:
         """Take the records of ``copy_keys``; returns (record_id) of every copy that is surplus now.
 
-        Records without a time of receipt count as received last. An empty table gives no surplus. Taking the
+        Records without a time of receipt count as received last; those without a record_id are left out. An empty table gives no surplus. Taking the
         same records again gives none either: the copy that is held is never its own surplus.
         """
         rows = self._rows(keyed)
@@ -219,8 +224,13 @@ class IdentifierIndex:
         return self.spark.read.schema(OUT).parquet(f"{self.path}/{self.generation}").filter("kind = 'surplus'").select("record_id")
 
 
+#: Columns that tell copies.
+NEEDED = ["record_id", "source_id", "session_id", "uuid", "record_type", "written_at", "item_text", "item_content", "received_at", "batch_no"]
+
+
 def surplus_copies(claude_session: DataFrame, sources: DataFrame) -> DataFrame:
-    """(record_id) of every surplus copy, through a fresh identifier index."""
+    """(record_id) of every surplus copy, through a fresh identifier index. Rows without a record_id are left out."""
+    claude_session = claude_session.select(*NEEDED).filter("record_id is not null")
     index = IdentifierIndex(claude_session.sparkSession, rows_expected=claude_session.count())
     return index.ingest(copy_keys(claude_session, sources))
 
