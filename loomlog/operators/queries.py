@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import deliveries, drift, ledger, shred, timestamps
+from . import deliveries, drift, ledger, records, shred, timestamps
 
 #: Paths that the consistent table of p5 covers: the drifting fields of the problem and their later names.
 DRIFTING = ["type", "recordType", "subtype", "message.content[].type", "message.content[].blockType", "message.model", "message.modelName", "version"]
@@ -50,12 +51,31 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return deliveries.surplus_copies(table(spark, folder, "claude_session"), table(spark, folder, "sources"))
 
 
+def record_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return records.fields(table(spark, folder, "raw_records"))
+
+
+def record_headers(spark: SparkSession, folder: str) -> DataFrame:
+    return records.inherited(records.headers(table(spark, folder, "raw_records")))
+
+
+def record_events(spark: SparkSession, folder: str) -> DataFrame:
+    return records.folded(table(spark, folder, "raw_records")).drop("fields")
+
+
+def json_flatten(spark: SparkSession, folder: str) -> DataFrame:
+    """The ``props`` of the events table, flattened."""
+    bodies = table(spark, folder, "events").select(F.col("event_id").alias("raw_id"), F.col("props").alias("body"))
+    return records.fields(bodies).select(F.col("raw_id").alias("event_id"), "path", "value", "kind")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_items, p2_options, p3_found, p5_found, p5_consistent, p6_found, p6_ledger, p7_found)
+    f.__name__: f for f in (p2_found, p2_items, p2_options, p3_found, p5_found, p5_consistent, p6_found, p6_ledger, p7_found, record_fields, record_headers, record_events, json_flatten)
 }
 
 _START = "CASE WHEN disposition IN ('source_rewritten', 'source_rebuilt') THEN 0 ELSE previous_byte_end END"
 SQL = {
+    "json_flatten": "SELECT event_id, '/k' AS path, json_extract_string(props, '$.k') AS value, 'number' AS kind FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "p6_found": f"""
         SELECT DISTINCT source_id, byte_start FROM source_records r WHERE ends_line AND NOT EXISTS (
             SELECT 1 FROM source_changes c WHERE c.source_id = r.source_id AND c.run_state = 'committed' AND c.run_no >= r.changed_run
