@@ -90,7 +90,7 @@ ADDRESS = re.compile(
     "(?:"
     rf"(?<![\w.+/-])(?<!the )(?:{_FLAT})?\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}(?:{_EN})\b(?! map\b)"
     rf"|(?<![\w.+/-])(?:{_FLAT})?\d{{1,5}}(?: ?(?:bis|ter|[A-D]))?,? (?:{_FR}|{_FR.title()}) (?:(?:de la|de l['’]|des|du|de|d['’]|aux|la|le|les) ?)?{_CAP}(?:[ -]{_CAP})*"
-    rf"|(?<![\w-])(?:{_FLAT})?(?:{_CAP}{_DE}|(?:(?:Am|An der|Auf dem|Im|Zum|Zur|Unter den|{_CAP}) )?{_CAP}[ -](?:Straße|Strasse|Str\.|Gasse|Weg|Ring|Allee|Platz|Ufer|Damm))  ?\d{{1,4}} ?[a-z]?\b".replace("  ?", " ?")
+    rf"|(?<![\w-])(?:{_FLAT})?(?:{_CAP}{_DE}|(?:(?:Am|An der|Auf dem|Im|Zum|Zur|Unter den|{_CAP}) )?{_CAP}[ -](?:Straße|Strasse|Str\.|Gasse|Weg|Ring|Allee|Platz|Ufer|Damm)) ?\d{{1,4}}(?:[a-z]\b)?"
     + rf"|(?<![\w-])(?:{_FLAT})?(?:{_ES}) (?:(?:de las|de los|de la|del|de|las|los|la|el) )*{_CAP}(?:[ -](?:de |del |la )?{_CAP})*,? (?:n\.?º ?)?\d{{1,4}}\b"
     + f"){_TOWN}"
 )
@@ -212,12 +212,8 @@ class Detector:
         return found
 
     def _plausible(self, name: str) -> bool:
-        words = [w for w in re.split(r"[ ,]+", name) if w and not w.endswith(".")]
-        if any(w.lower() in NO_NAME for w in words):
-            return False
-        if any(w.lower() in self.given or w.lower() in self.family for w in words):
-            return True
-        return all(w[0].isupper() for w in words) or len(words) == 2
+        """After a cue any two words are a name, an initial being one, but for words that open a phrase."""
+        return not any(w.lower() in NO_NAME for w in re.split(r"[ ,]+", name))
 
     def _certain(self, name: str) -> bool:
         """Outside of cues: known parts in the places of a full name."""
