@@ -9,7 +9,7 @@ have no fields: the result is None.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
 from ..operators.shred import escape
 
@@ -35,25 +35,34 @@ _decode = json.JSONDecoder(object_pairs_hook=_Pairs, parse_int=_Number, parse_fl
 def flatten(record: bytes | str) -> list[Field] | None:
     try:
         text = record.decode() if isinstance(record, bytes) else record
-        text.encode()
-        return list(_fields("", _decode(text), 0))
+        out: list[Field] = []
+        _walk("", _decode(text), 0, out.append)
+        if not isinstance(record, bytes) or "\\u" in text:  # only escapes can bring lone surrogates into bytes
+            for path, value, _ in out:
+                path.encode()
+                value.encode()
     except (ValueError, RecursionError):
         return None
+    return out
 
 
-def _fields(path: str, v: object, depth: int) -> Iterator[Field]:
-    if isinstance(v, list):
+def _walk(path: str, v: object, depth: int, add: Callable[[Field], None]) -> None:
+    kind = type(v)
+    if kind is str:
+        add((path, v, "string"))
+    elif kind is _Number:
+        add((path, str(v), "number"))
+    elif kind is _Pairs:
         if depth >= DEPTH:
             raise ValueError("too deep")
-        pairs = v if isinstance(v, _Pairs) else enumerate(v)
-        for key, x in pairs:
-            yield from _fields(f"{path}/{escape(key) if isinstance(key, str) else key}", x, depth + 1)
-    elif isinstance(v, _Number):
-        yield path, str(v), "number"
-    elif isinstance(v, str):
-        v.encode()
-        yield path, v, "string"
+        for key, x in v:
+            _walk(f"{path}/{escape(key)}", x, depth + 1, add)
+    elif kind is list:
+        if depth >= DEPTH:
+            raise ValueError("too deep")
+        for i, x in enumerate(v):
+            _walk(f"{path}/{i}", x, depth + 1, add)
     elif v is None:
-        yield path, "null", "null"
+        add((path, "null", "null"))
     else:
-        yield path, "true" if v else "false", "boolean"
+        add((path, "true" if v else "false", "boolean"))

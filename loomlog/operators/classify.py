@@ -8,7 +8,7 @@ look things up in them.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 from ..functions.flatten import Field
@@ -144,41 +144,48 @@ class Record:
         return self.kind == "user" and self.sender in ("human", "unknown")
 
 
-def _lookup(fields: list[Field], keys: list[str]) -> str | None:
-    """The value of the first key that has one, at the highest place; of equal places the smaller path."""
-    for key in keys:
-        places = [(rank, path, value) for path, value, _ in fields if value for _, k, rank, _ in [place_of(path)] if k == key and rank is not None]
-        if places:
-            return min(places)[2]
-    return None
+_TYPE_PLACES = frozenset(TYPE_PATHS)
+_META_KEYS = frozenset(k for keys in META.values() for k in keys) | {"id"}
+
+
+def _places(fields: list[Field]) -> dict[str, str]:
+    """Per metadata key the value at the highest place; of equal places that with the smaller path."""
+    best: dict[str, tuple[int, str, str]] = {}
+    for path, value, _ in fields:
+        _, key, rank, _ = place_of(path)
+        if key in _META_KEYS and rank is not None and value:
+            here = (rank, path, value)
+            if key not in best or here < best[key]:
+                best[key] = here
+    return {key: value for key, (_, _, value) in best.items()}
 
 
 def event_type(record: Record) -> str | None:
-    low = {}
-    for path, value, _ in record.fields or ():
-        low.setdefault(path.lower(), value)
+    low: dict[str, str] = {}
+    for path, (value, _) in record.at.items():
+        if len(path) < 20 and (p := path.lower()) in _TYPE_PLACES:
+            low.setdefault(p, value)
     return next((low[p] for p in TYPE_PATHS if p in low and low[p].lower() not in ("event_msg", "response_item")), None)
 
 
 def kind(fields: list[Field], type_name: str | None, role: str | None) -> str:
     """The first rule that holds decides."""
     t, r = (type_name or "").lower(), (role or "").lower()
-    paths = [p.lower() for p, _, _ in fields]
     leaves = {place_of(p)[1] for p, _, _ in fields}
     has = lambda *words: any(w in t for w in words)
     rules = [
-        (t in COMPACTIONS, "unknown"),
-        (has("output", "result", "toolreturn", "call_end"), "output"),
-        (has("patch"), "patch"),
-        (has("command", "function_call", "functioncall", "tool_call", "toolcall"), "command"),
-        (any(p.endswith("/type") and v == "tool_result" for p, v, _ in fields), "output"),
-        (r == "user" or t == "user" or has("user_message", "usermessage"), "user"),
-        (r == "assistant" or t == "assistant" or has("assistant_message", "assistantmessage", "agent_message", "agentmessage"), "assistant"),
-        (bool(leaves & {"stdout", "stderr", "output"}), "output"),
-        (any("patch" in p for p in paths), "patch"),
-        (bool(leaves & {"command", "arguments"}), "command"),
+        (lambda: t in COMPACTIONS, "unknown"),
+        (lambda: has("output", "result", "toolreturn", "call_end"), "output"),
+        (lambda: "patch" in t, "patch"),
+        (lambda: has("command", "function_call", "functioncall", "tool_call", "toolcall"), "command"),
+        (lambda: "type" in leaves and any(v == "tool_result" and p.endswith("/type") for p, v, _ in fields), "output"),
+        (lambda: r == "user" or t == "user" or has("user_message", "usermessage"), "user"),
+        (lambda: r == "assistant" or t == "assistant" or has("assistant_message", "assistantmessage", "agent_message", "agentmessage"), "assistant"),
+        (lambda: bool(leaves & {"stdout", "stderr", "output"}), "output"),
+        (lambda: any("patch" in p.lower() for p, _, _ in fields), "patch"),
+        (lambda: bool(leaves & {"command", "arguments"}), "command"),
     ]
-    return next((k for test, k in rules if test), "unknown")
+    return next((k for test, k in rules if test()), "unknown")
 
 
 def describe(fields: list[Field] | None) -> Record:
@@ -188,13 +195,14 @@ def describe(fields: list[Field] | None) -> Record:
         record.kind = "invalid"
         return record
     record.event_type = event_type(record)
+    places = _places(fields)
     for name, keys in META.items():
-        setattr(record, name, _lookup(fields, keys))
+        setattr(record, name, next((places[k] for k in keys if k in places), None))
     t = (record.event_type or "").lower()
     if record.session is None and "session" in t:
-        record.session = _lookup(fields, ["id"])
+        record.session = places.get("id")
     if record.turn is None and "turn" in t:
-        record.turn = _lookup(fields, ["id"])
+        record.turn = places.get("id")
     record.kind = kind(fields, record.event_type, record.role)
     return record
 
@@ -354,15 +362,17 @@ def classify(origin: str, record: Record) -> Record:
         sender, via, fixes = _codex(origin, record)
     else:
         sender, via, fixes = ("assistant" if record.kind == "assistant" else "unknown"), "", {}
-    return replace(record, sender=sender, via=via, **fixes)
+    for name, value in {"sender": sender, "via": via, **fixes}.items():
+        setattr(record, name, value)
+    return record
 
 
 # --- projection -----------------------------------------------------------------------------------------------
-def kept(path: str, record: Record) -> bool:
-    """Whether a field of a record that is no person's message belongs to its body."""
+@lru_cache(200_000)
+def kept(path: str, kind: str, t: str) -> bool:
+    """Whether a field of a record that is no person's message, of this kind and type (lower case), belongs to its body."""
     low, (_, key, _, inside) = path.lower(), place_of(path)
-    t = (record.event_type or "").lower()
-    if record.kind != "unknown" and is_noise(path):
+    if kind != "unknown" and is_noise(path):
         return False
     if t in COMPACTIONS:
         return low == "/payload/message" or ("/replacement_history/" in low and key in ("role", "text", "message", "turnid"))
@@ -372,7 +382,7 @@ def kept(path: str, record: Record) -> bool:
         return key in IDENTITY
     if key in IDENTITY and not inside:
         return key == "name"
-    if record.kind in ("user", "assistant", "summary"):
+    if kind in ("user", "assistant", "summary"):
         return key in SPOKEN_KEYS or "/content/" in low
     return True
 
@@ -389,9 +399,9 @@ def project(record: Record, output_chars: int = OUTPUT_CHARS, raw: bytes = b"")
         record.body = _texts(record)
         record.images = sum(place_of(p)[1] == "type" and v in ("image", "input_image") for p, v, _ in record.fields)
         return record
-    short = record.kind == "output" and output_chars > 0
+    short, t = record.kind == "output" and output_chars > 0, (record.event_type or "").lower()
     for path, value, _ in record.fields:
-        if kept(path, record):
+        if kept(path, record.kind, t):
             if short and len(value) > output_chars:
                 value, record.cut = value[:output_chars] + TRUNCATED, True
             record.body.append((path, value))

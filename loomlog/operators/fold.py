@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from itertools import accumulate
+
+import pyarrow as pa
 
 from ..functions.flatten import flatten
 from .classify import IMPORTED_TURN, Record, classify, describe, project, reply_text
@@ -79,7 +82,9 @@ class LogFold:
         return record
 
     def _claude_answers(self, r: Record) -> list[tuple[str, list[str]]]:
-        blocks = sorted({int(p.split("/")[3]) for p in r.at if p.startswith("/message/content/") and p.split("/")[3].isdigit()})
+        if not self.state.questions and r.value("/type") != "assistant":
+            return []
+        blocks = sorted({int(b) for p in r.at if p.startswith("/message/content/") and (b := p.split("/", 4)[3]).isdigit()})
         item = lambda i, leaf: r.text(f"/message/content/{i}/{leaf}")
         if r.value("/type") == "assistant":
             for i in blocks:
@@ -155,4 +160,18 @@ HEADER = "source_id string, line long, byte_start long, byte_len long, event_ind
 def row(record: Record, source_id: str, line: int, byte_start: int, byte_len: int, index: int) -> tuple:
     person = "\n".join(v for _, v in record.body) if record.sender == "human" else None
     return (source_id, line, byte_start, byte_len, index, record.session, record.turn, record.role, record.kind, record.event_type, record.timestamp, record.cwd, record.repository, record.call_id,
-            record.sender, record.via, record.cut, [{"path": p, "value": v} for p, v in record.body], person, record.images, reply_text(record))
+            record.sender, record.via, record.cut, record.body, person, record.images, reply_text(record))
+
+
+def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as Arrow; the (path, value) lists are laid out by offsets, without an object per field."""
+    columns = []
+    for column, f in zip(zip(*rows, strict=True), schema, strict=True):
+        if pa.types.is_list(f.type):
+            sizes = [len(x or ()) for x in column]
+            pairs = [p for x in column if x for p in x]
+            inner = pa.StructArray.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], names=["path", "value"])
+            columns.append(pa.ListArray.from_arrays(pa.array(list(accumulate(sizes, initial=0)), pa.int32()), inner))
+        else:
+            columns.append(pa.array(column, f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -12,6 +12,7 @@ from ..functions.flatten import flatten
 from ..runtime import arrow_schema
 from .classify import classify, describe, project
 from .fold import HEADER, LogFold, row
+from .fold import batch as as_batch
 
 _FIELDS = "raw_id long, place int, path string, value string, kind string"
 
@@ -87,7 +88,7 @@ def folded(raw_records: DataFrame, origin: str = "claude_main", output_chars: in
                 rows.append(row(record, source_id, line, at, len(raw), fold.state.index - 1))
                 at += len(raw)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield as_batch(rows, schema)
 
     lines = raw_records.groupBy("source_id", F.col("line_no").cast("long").alias("line")).agg(F.min_by("body", F.struct("received_at", "raw_id")).alias("body"))
     return lines.repartition("source_id").sortWithinPartitions("source_id", "line").mapInArrow(run, HEADER)

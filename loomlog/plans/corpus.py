@@ -20,8 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import instants
+from ..functions.text import project_from_cwd
 from ..operators.classify import RULES_VERSION
 from ..operators.fold import HEADER, LogFold, LogState, row
+from ..operators.fold import batch as as_batch
 from ..runtime import arrow_schema, broadcast_if_small
 from ..sources.discovery import Source, collect, describe, normalize_input
 from ..sources.lines import Undecodable, read_range, records
@@ -94,8 +97,9 @@ def _same_past(entry: Entry) -> bool:
 
 
 class Corpus:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, Path(path)
+    def __init__(self, spark: SparkSession, path: str, zone: str = "UTC") -> None:
+        """``zone`` serves times written without one, and dates are its calendar's."""
+        self.spark, self.path, self.zone = spark, Path(path), zone
         self.path.mkdir(parents=True, exist_ok=True)
 
     # --- state ------------------------------------------------------------------------------------------
@@ -122,15 +126,28 @@ class Corpus:
         return self.spark.read.schema(_CATALOG).parquet(f"{self.path}/sources/{version}") if version else self.spark.createDataFrame([], _CATALOG)
 
     def events(self) -> DataFrame:
-        """All events of the current version, with app, origin and path of their log."""
+        """All events of the current version, in the columns that the read plans share.
+
+        With app, origin and path of the log; ``instant_us`` (microseconds), ``event_date`` (or ``undated``),
+        ``project`` of the directory, and ``text``, all kept values by line.
+        """
         entries = self.catalog().values()
         reads = [(e.source_id, n, e.app, e.origin, e.path) for e in entries for n in json.loads(e.reads)]
         current = self.spark.createDataFrame(reads, "source_id string, read long, app string, origin string, path string")
         folders = [f"{self.path}/events/read={n}" for n in sorted({r[1] for r in reads})]
         if not folders:
-            return self.spark.createDataFrame([], HEADER + ", app string, origin string, path string")
+            return self._shared(self.spark.createDataFrame([], HEADER + ", app string, origin string, path string"))
         rows = self.spark.read.schema(HEADER + ", read long").option("basePath", f"{self.path}/events").parquet(*folders).filter("kind <> 'checkpoint'")
-        return rows.join(broadcast_if_small(current), ["source_id", "read"]).drop("read")
+        return self._shared(rows.join(broadcast_if_small(current), ["source_id", "read"]).drop("read"))
+
+    def _shared(self, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({
+            "instant_us": instants.from_parts(instants.parse(F.col("timestamp")), F.lit(self.zone)),
+            "project": project_from_cwd(F.col("cwd")),
+            "text": F.array_join("fields.value", "\n"),
+        })
+        day = F.date_format(F.from_utc_timestamp(F.timestamp_micros("instant_us"), self.zone), "yyyy-MM-dd")
+        return rows.withColumn("event_date", F.coalesce(day, F.lit("undated")))
 
     # --- sync ---------------------------------------------------------------------------------------------
     def sync(self, inputs: list[str], rebuild: bool = False, output_chars: int = 300) -> dict:
@@ -211,13 +228,13 @@ class Corpus:
                         rows.append(r)
                         some = True
                         if len(rows) == BATCH:
-                            yield _arrow(rows)
+                            yield as_batch(rows, _ARROW)
                             rows = []
                     if some:
                         entry.reads = json.dumps([*json.loads(entry.reads), number])
                     # The last row of a log is its entry, brought up to date.
                     end = dict.fromkeys(_ARROW.names) | {"source_id": entry.source_id, "kind": "checkpoint", "event_type": json.dumps(asdict(entry))}
-                    yield _arrow([*rows, tuple(end.values())])
+                    yield as_batch([*rows, tuple(end.values())], _ARROW)
 
         target = f"{self.path}/events/read={number}"
         work.mapInArrow(read, HEADER).write.mode("overwrite").parquet(target)
@@ -302,7 +319,3 @@ class Corpus:
     def original(self, source_id: str, byte_start: int, byte_len: int) -> bytes:
         """The bytes of a record as they lie in its log."""
         return read_range(self.catalog()[source_id].path, byte_start, byte_len)
-
-
-def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)

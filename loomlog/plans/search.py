@@ -50,6 +50,22 @@ def matches(events: DataFrame, queries: list[str], ignore_case: bool = False, co
     return events.filter(any_of).withColumn("query", F.explode(hit))
 
 
+def field_matches(events: DataFrame, queries: list[str], ignore_case: bool = False) -> DataFrame:
+    """The same for events with ``fields``: each value is searched by itself, so a match never spans two.
+
+    Adds ``query`` and ``field``, the path of the first value that contains it.
+    """
+    if not queries or not all(queries):
+        raise ValueError("a query must not be empty")
+    value = lambda x: T.fold(x["value"]) if ignore_case else x["value"]
+    wanted = [(q, T.ascii_lower(q) if ignore_case else q) for q in dict.fromkeys(queries)]
+    holds = lambda w: lambda x: F.contains(value(x), F.lit(w))
+    first = [F.struct(F.lit(q).alias("query"), F.try_element_at(F.filter("fields", holds(w)), F.lit(1))["path"].alias("field")) for q, w in wanted]
+    any_of = F.exists("fields", lambda x: reduce(lambda a, b: a | b, [F.contains(value(x), F.lit(w)) for _, w in wanted]))
+    out = events.filter(any_of).withColumn("__hit", F.explode(F.filter(F.array(*first), lambda x: x["field"].isNotNull())))
+    return out.withColumns({"query": F.col("__hit.query"), "field": F.col("__hit.field")}).drop("__hit")
+
+
 def raw_matches(raw_records: DataFrame, query: str) -> DataFrame:
     """Records whose original bytes contain the query's bytes: (raw_id, source_id, line_no, at_byte), the first place each."""
     if not query:
