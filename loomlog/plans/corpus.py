@@ -221,20 +221,23 @@ class Corpus:
         work = self.spark.createDataFrame([(json.dumps(asdict(e)),) for e in todo], "entry string").repartition(tasks)
 
         def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    entry, rows, some = Entry(**json.loads(text)), [], False
+                    entry = Entry(**json.loads(text))
+                    known = entry.events
                     for r in _read(entry):
                         rows.append(r)
-                        some = True
-                        if len(rows) == BATCH:
+                        if len(rows) >= BATCH:
                             yield as_batch(rows, _ARROW)
                             rows = []
-                    if some:
+                    if entry.events > known:
                         entry.reads = json.dumps([*json.loads(entry.reads), number])
                     # The last row of a log is its entry, brought up to date.
                     end = dict.fromkeys(_ARROW.names) | {"source_id": entry.source_id, "kind": "checkpoint", "event_type": json.dumps(asdict(entry))}
-                    yield as_batch([*rows, tuple(end.values())], _ARROW)
+                    rows.append(tuple(end.values()))
+            if rows:
+                yield as_batch(rows, _ARROW)
 
         target = f"{self.path}/events/read={number}"
         work.mapInArrow(read, HEADER).write.mode("overwrite").parquet(target)
