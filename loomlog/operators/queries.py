@@ -73,8 +73,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_items, p2_options, p3_found, p5_found, p5_consistent, p6_found, p6_ledger, p7_found, record_fields, record_headers, record_events, json_flatten)
 }
 
+# The bodies as trees; what DuckDB calls valid JSON is the same here.
+_TREE = """WITH RECURSIVE nodes AS (SELECT r.raw_id, r.stream_key, r.file_no, t.id, t.parent, t.key, t.type, t.atom FROM (SELECT * FROM raw_records WHERE json_valid(body)) r, json_tree(r.body) t),"""
 _START = "CASE WHEN disposition IN ('source_rewritten', 'source_rebuilt') THEN 0 ELSE previous_byte_end END"
 SQL = {
+    "p2_found": _TREE
+    + """
+    p AS (SELECT raw_id, stream_key, id, type, '' AS ptr, '' AS owner, false AS element FROM nodes WHERE parent IS NULL
+        UNION ALL SELECT n.raw_id, n.stream_key, n.id, n.type, p.ptr || '/' || replace(replace(n.key, '~', '~0'), '/', '~1'), CASE WHEN p.element THEN p.ptr ELSE p.owner END, p.type = 'ARRAY' AND n.type = 'OBJECT'
+        FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id),
+    e AS (SELECT p.*, i.atom AS own, a.atom AS answers FROM p LEFT JOIN nodes i ON i.raw_id = p.raw_id AND i.parent = p.id AND i.key = 'id' AND i.type = 'VARCHAR'
+        LEFT JOIN nodes a ON a.raw_id = p.raw_id AND a.parent = p.id AND a.key = 'tool_use_id' AND a.type = 'VARCHAR' WHERE element),
+    calls AS (SELECT stream_key, own AS answers, min(raw_id) AS link FROM e WHERE own IS NOT NULL GROUP BY ALL)
+    SELECT raw_id, ptr AS child_path, owner AS parent_path, coalesce(link, -1) AS link_raw_id FROM e LEFT JOIN calls USING (stream_key, answers)""",
+    "p5_found": _TREE
+    + r"""
+    p AS (SELECT raw_id, stream_key, file_no, id, type, atom, '' AS path FROM nodes WHERE parent IS NULL
+        UNION ALL SELECT n.raw_id, n.stream_key, n.file_no, n.id, n.type, n.atom, CASE WHEN p.type = 'ARRAY' THEN p.path || '[]' WHEN p.path = '' THEN n.key ELSE p.path || '.' || n.key END
+        FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id),
+    v AS (SELECT stream_key, file_no, path, CASE WHEN type = 'VARCHAR' THEN 's' WHEN type IN ('ARRAY', 'OBJECT', 'BOOLEAN') THEN type ELSE 'n' END AS kind, CASE WHEN type = 'VARCHAR' THEN atom END AS text FROM p WHERE path <> '' AND type <> 'NULL'),
+    s AS (SELECT stream_key, file_no, path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM v GROUP BY ALL),
+    f AS (SELECT stream_key, file_no, lag(file_no) OVER (PARTITION BY stream_key ORDER BY file_no) AS before FROM (SELECT DISTINCT stream_key, file_no FROM raw_records)),
+    o AS (SELECT f.stream_key, f.file_no, s.path, s.kinds FROM f JOIN s ON s.stream_key = f.stream_key AND s.file_no = f.before),
+    n AS (SELECT f.stream_key, f.file_no, s.path, s.kinds FROM f JOIN s ON s.stream_key = f.stream_key AND s.file_no = f.file_no WHERE before IS NOT NULL),
+    c AS (SELECT stream_key, file_no, path, CASE WHEN n.kinds IS NULL THEN 'removed' WHEN o.kinds IS NULL THEN 'added' ELSE 'retyped' END AS change_kind, regexp_replace(path, '(^|\.)[^.]*$', '') AS above
+        FROM o FULL JOIN n USING (stream_key, file_no, path) WHERE o.kinds IS DISTINCT FROM n.kinds),
+    r AS (SELECT DISTINCT a.stream_key, a.file_no, a.path AS field_path, b.path AS new_path FROM c a JOIN c b ON a.change_kind = 'removed' AND b.change_kind = 'added' AND a.stream_key = b.stream_key AND a.file_no = b.file_no AND a.above = b.above
+        JOIN f ON f.stream_key = a.stream_key AND f.file_no = a.file_no JOIN v x ON x.stream_key = a.stream_key AND x.file_no = f.before AND x.path = a.path JOIN v y ON y.stream_key = b.stream_key AND y.file_no = b.file_no AND y.path = b.path AND x.text = y.text)
+    SELECT stream_key, file_no, change_kind, path AS field_path, '' AS new_path FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stream_key = c.stream_key AND r.file_no = c.file_no AND c.path IN (r.field_path, r.new_path))
+    UNION ALL SELECT stream_key, file_no, 'renamed', field_path, new_path FROM r""",
     "json_flatten": "SELECT event_id, '/k' AS path, json_extract_string(props, '$.k') AS value, 'number' AS kind FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "p6_found": f"""
         SELECT DISTINCT source_id, byte_start FROM source_records r WHERE ends_line AND NOT EXISTS (

@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -49,7 +49,14 @@ def settle(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     path = scratch(spark, what)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a settled table once everything made from it is settled too."""
+    drop_path(df.sparkSession, df.settled_at)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
