@@ -47,4 +47,16 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_share)}
-SQL: dict[str, str] = {}
+_WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))"
+_LEAKS = f"""g AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM g)),
+    h AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), e AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM h)),
+    leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (k))"""
+_SPANS = "w AS (SELECT DISTINCT doc_id, i, substring(text, i, 250) AS k FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM documents WHERE length(text) >= 250))"
+SQL: dict[str, str] = {
+    "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p8_items": f"WITH {_LEAKS} SELECT i.item_id, i.suite, count(l.doc_id) AS documents FROM eval_items i LEFT JOIN leaks l USING (item_id) GROUP BY ALL",
+    "p10_found": f"WITH {_SPANS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.k = b.k AND a.doc_id < b.doc_id",
+    "p10_share": f"""WITH {_SPANS}, s AS (SELECT k FROM w GROUP BY k HAVING count(DISTINCT doc_id) > 1), a AS (SELECT doc_id, i FROM w SEMI JOIN s USING (k)),
+        c AS (SELECT doc_id, sum(least(250, coalesce(lead - i, 250)))::BIGINT AS shared_chars FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS lead FROM a) GROUP BY doc_id)
+        SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0.0 END AS share FROM documents LEFT JOIN c USING (doc_id)""",
+}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import settle
+from ..runtime import discard, settle
 
 SPAN = 250
 K, S = 100, 16
@@ -154,9 +154,10 @@ def graph(documents: DataFrame) -> DataFrame:
 
     ``edge`` says that the step to the next node of the text (its hash and distance) is shared as well.
     """
-    nodes = settle(documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_nodes, _NODES_DDL), "nodes")
-    shared = nodes.groupBy("node").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("node")
-    nodes = settle(nodes.join(shared, "node", "left_semi"), "shared-nodes")
+    every = settle(documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_nodes, _NODES_DDL), "nodes")
+    shared = every.groupBy("node").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("node")
+    nodes = settle(every.join(shared, "node", "left_semi"), "shared-nodes")
+    discard(every)
     step = nodes.withColumn("step", F.when(F.col("next_at") >= 0, F.xxhash64("node", "next_node", F.col("next_at") - F.col("at"))))
     steps = step.filter("step is not null").groupBy("step").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("step", F.lit(True).alias("edge"))
     # Texts' last nodes have no step; they stay out of the join instead of meeting on one null key.
@@ -220,9 +221,11 @@ def shared_pairs(documents: DataFrame, length: int = SPAN) -> DataFrame:
     """
     if length < K + (K - S):
         raise ValueError(f"spans of under {2 * K - S} characters may hold no node")
-    seen = settle(windows(documents, length), "windows")
-    begins = seen.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("before").alias("c"), F.max("before").alias("d")).filter("a < b and c < d").select("span")
-    seen = settle(seen.join(begins, "span", "left_semi"), "begins")
+    every = settle(windows(documents, length), "windows")
+    begins = every.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("before").alias("c"), F.max("before").alias("d")).filter("a < b and c < d").select("span")
+    # Of a document that repeats itself one place for each character before it is enough.
+    seen = settle(every.join(begins, "span", "left_semi").groupBy("span", "doc_id", "before").agg(F.min("at").alias("at")), "begins")
+    discard(every)
     left = seen.select("span", F.col("doc_id").alias("doc_id_a"), F.col("at").alias("at_a"), F.col("before").alias("before_a"))
     right = seen.select("span", F.col("doc_id").alias("doc_id_b"), F.col("at").alias("at_b"), F.col("before").alias("before_b"))
     met = left.join(right, "span").filter("doc_id_a < doc_id_b and before_a <> before_b")

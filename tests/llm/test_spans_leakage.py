@@ -69,6 +69,11 @@ def test_every_run_has_a_node(t, cut):
     assert (np.diff(places) <= spans.K - spans.S).all()
 
 
+def test_texts_that_repeat_themselves(spark):
+    rows = [(1, "a" * 60_000), (2, "b" + "a" * 60_000), (3, "ab" * 20_000), (4, "xab" + "ab" * 20_000), (5, " " * 300), (6, "a" * 249)]
+    assert {tuple(r) for r in spans.shared_pairs(docs(spark, rows)).collect()} == {(1, 2), (3, 4)}
+
+
 def test_spans_empty_and_clashing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, at long, node long, span long")
     assert spans.shared_pairs(none).count() == 0 and spans.shared_share(none).count() == 0
