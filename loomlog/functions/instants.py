@@ -92,6 +92,12 @@ def parse(value: Column) -> Column:
     return F.when(found.startswith(_MARK), F.split(found, _MARK))
 
 
+def needs_zone(value: Column) -> Column:
+    """Whether reading ``value`` needs the zone of the machine that wrote it; NULL where no form matches."""
+    stated = lambda p: F.concat(*[p[1 + _PARTS.index(k)] for k in ("z", "sg", "l", "r", "b", "n")])
+    return F.transform(F.array(parse(value)), lambda p: stated(p) == "")[0]
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is worked out once however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

@@ -13,12 +13,16 @@ def with_instant(df: DataFrame, value: str, sources: DataFrame, out: str = "inst
 
     Needs ``source_id``; ``sources`` gives the zone of the machine that wrote a value without one (no such
     source, or a null zone: UTC). Row count and other columns stay, also columns that share names with those
-    of ``sources``. A source listed twice counts once (its smallest zone name).
+    of ``sources``. A source listed twice counts once (its smallest zone name). ``df`` is evaluated twice.
     """
-    df = _with_zone(df, sources)
-    plain = instants.is_canonical(F.col(value))
-    general = instants.from_parts(instants.parse(F.col(value)), F.col("__zone"))
-    return df.withColumn(out, F.when(plain, instants.from_canonical(F.col(value))).otherwise(general)).drop("__zone")
+    written = F.col(value)
+    plain = instants.is_canonical(written)
+    local = F.coalesce(~plain & instants.needs_zone(written), F.lit(False))
+    read = lambda zone: F.when(plain, instants.from_canonical(written)).otherwise(instants.from_parts(instants.parse(written), zone))
+    # Few values are wall time: only those meet the sources, so the rest isn't shuffled for it.
+    settled = df.filter(~local).withColumn(out, read(F.lit("UTC")))
+    walls = _with_zone(df.filter(local), sources).withColumn(out, read(F.col("__zone"))).drop("__zone")
+    return settled.unionByName(walls)
 
 
 def _with_zone(df: DataFrame, sources: DataFrame) -> DataFrame:
