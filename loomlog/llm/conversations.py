@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.deliveries import bare, copy_keys, first_copies, normal_id
-from ..runtime import scratch
+from ..runtime import broadcast_if_small, drop_path, scratch, settle
 
 #: Event time that one key of the state spans.
 STRETCH = "10 minutes"
@@ -70,7 +70,9 @@ def replay(rows: DataFrame, stretch: str = STRETCH) -> DataFrame:
     spark = rows.sparkSession
     path = scratch(spark, "messages")
     rows.filter("speaker is not null").write.parquet(path)
-    return _closed(spark, path, stretch)
+    out = _closed(spark, path, stretch)
+    drop_path(spark, path)
+    return out
 
 
 def _closed(spark: SparkSession, path: str, stretch: str) -> DataFrame:
@@ -85,22 +87,26 @@ def _closed(spark: SparkSession, path: str, stretch: str) -> DataFrame:
     marker = spark.range(1).select(F.lit("").alias("session_id"), F.lit(None).cast("long").alias("record_id"), F.lit("").alias("source_id"), F.lit(0).cast("long").alias("line_no"), F.lit(end).cast("long").alias("instant_us"), F.lit("marker").alias("speaker"), F.lit(False).alias("broken"), F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("parent"), F.timestamp_micros(F.lit(end)).alias("event_time"))
     marker.coalesce(1).write.mode("append").parquet(path)
     provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
+    before, state = spark.conf.get(provider), scratch(spark, "state")
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
-        query = stretches(stream, f"{span} seconds", stretch).writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start(out)
+        query = stretches(stream, f"{span} seconds", stretch).writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
         query.awaitTermination()
     finally:
         spark.conf.set(provider, before)
+    drop_path(spark, state)
     return spark.read.schema(schema).parquet(out)
 
 
 def broken_sessions(rows: DataFrame) -> DataFrame:
     """(session_id) of sessions in which a row names a parent that no row of the session has as its id."""
-    refs = rows.select("session_id", F.explode(F.array(F.struct(F.col("own").alias("ref"), F.lit(True).alias("held")), F.struct(F.col("parent").alias("ref"), F.lit(False).alias("held")))).alias("x")).select("session_id", "x.*")
-    refs = refs.filter("ref is not null").groupBy("session_id", "ref").agg(F.max("held").alias("held"))
-    return refs.filter("not held").select("session_id").distinct()
+    here = F.xxhash64("session_id").alias("here")
+    refs = rows.select(here, F.explode(F.array(F.struct(F.col("own").alias("ref"), F.lit(True).alias("held")), F.struct(F.col("parent").alias("ref"), F.lit(False).alias("held")))).alias("x")).select("here", "x.*")
+    refs = refs.filter("ref is not null").groupBy("here", "ref").agg(F.max("held").alias("held"))
+    # 128 bits of session and id are shuffled, not their texts; what is missing is little.
+    missing = broadcast_if_small(settle(refs.filter("not held").select("here", F.col("ref").alias("parent")), "missing"))
+    return rows.filter("parent is not null").select("session_id", here, "parent").join(missing, ["here", "parent"], "left_semi").select("session_id").distinct()
 
 
 def conversations(claude_session: DataFrame, sources: DataFrame, stretch: str = STRETCH) -> DataFrame:
