@@ -87,7 +87,7 @@ def test_budgets():
     assert [len(r["human_text"]) for r in said.budget_page(rows, 4)] == [4] and len(said.budget_page(rows, 25)) == 2
     kept = ask.within_budget([{"text": "x" * 100}, {"text": "y" * 100}, {"text": "z"}], budget=230)
     assert [r["text"][0] for r in kept] == ["x", "z"]
-    assert ask.month_quota({"a": 10, "b": 2, "c": 100}, 30) == {"a": 6, "b": 2, "c": 22}
+    assert ask.month_quota({"a": 10, "b": 2, "c": 100}, 30) == {"a": 8, "b": 2, "c": 20}
 
 
 def test_screen_failures(spark):
