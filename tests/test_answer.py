@@ -12,7 +12,9 @@ from .conftest import TESTDATA
 
 @pytest.fixture(scope="module")
 def ev(spark):
-    return events.session_events(spark.read.parquet(f"{TESTDATA}/claude_session.parquet")).cache()
+    df = events.session_events(spark.read.parquet(f"{TESTDATA}/claude_session.parquet")).cache()
+    yield df
+    df.unpersist()  # else later plans would read it
 
 
 class Writer:
