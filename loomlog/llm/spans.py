@@ -184,28 +184,39 @@ _WINDOWS = pa.schema([(n, pa.int64()) for n in ("doc_id", "at", "span", "before"
 
 def _windows(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
         for batch in batches:
-            ids, texts, bounds = (c.to_pylist() for c in batch.columns)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, text, spans in zip(ids, texts, bounds, strict=True):
-                codes = code_points(text)
-                for x in spans:
+            for i, text, spans in zip(*batch.columns, strict=True):  # one text at a time
+                codes, i = code_points(text.as_py()), i.as_py()
+                for x in spans.as_py():
                     low, high = x["low"], len(codes) if x["high"] < 0 else min(x["high"], len(codes))
                     for a in range(low, high - length + 1, PIECE):
-                        part = codes[a : min(high, a + PIECE + length - 1)]
-                        h = Hasher(part).of(length).view("i8")
-                        at = np.arange(a, a + len(h))
-                        before = np.empty(len(h), "i8")
-                        before[1:] = part[: len(h) - 1]
-                        before[0] = codes[a - 1] if a else -1 - (i & 0x7FFFFFFFFFFFFFF)
-                        for o, c in zip(out, (np.full(len(h), i), at, h, before), strict=True):
-                            o.append(c)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in out], schema=_WINDOWS)
+                        held.append(_of_piece(codes, i, a, min(high, a + PIECE + length - 1), length))
+                        n += len(held[-1][0])
+                        if n >= PIECE:
+                            yield _joined(held)
+                            held, n = [], 0
+        if n:
+            yield _joined(held)
 
     return run
 
 
+def _of_piece(codes: np.ndarray, doc: int, a: int, b: int, length: int) -> list[np.ndarray]:
+    """The windows that begin from ``a`` on and end by ``b``: document, place, hash, and the character before."""
+    h = Hasher(codes[a:b]).of(length).view("i8")
+    before = np.empty(len(h), "i8")
+    before[1:] = codes[a : a + len(h) - 1]
+    # At the start of a text there is none; a mark of the document keeps such starts apart.
+    before[0] = codes[a - 1] if a else -1 - (doc & 0x7FFFFFFFFFFFFFF)
+    return [np.full(len(h), doc), np.arange(a, a + len(h)), h, before]
+
+
+def _joined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in zip(*held, strict=True)], schema=_WINDOWS)
+
+
 def windows(documents: DataFrame, length: int = SPAN) -> DataFrame:
     """Every window of ``length`` characters that may be shared: (doc_id, at, span, before)."""
     bounds = paths(documents).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("bounds"))
