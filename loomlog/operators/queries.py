@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from . import deliveries, drift, ledger, records, shred, timestamps
 
-#: Paths that the consistent table of p5 covers: the drifting fields of the problem and their later names.
-DRIFTING = ["type", "recordType", "subtype", "message.content[].type", "message.content[].blockType", "message.model", "message.modelName", "version"]
-
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return shred.linked_elements(table(spark, folder, "raw_records"))
@@ -36,7 +33,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_consistent(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.consistent(table(spark, folder, "raw_records"), DRIFTING)
+    return drift.consistent(table(spark, folder, "raw_records"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -156,3 +156,35 @@ def test_empty(spark):
     assert shred.linked_elements(none).count() == 0 and drift.changes(none).count() == 0 and drift.consistent(none, ["a"]).count() == 0
     clash = spark.createDataFrame([(1, "s", 1, None, 1, None, '[{"id":"a"}]', "k", "p", True)], RAW + ", kind string, path string, element boolean")
     assert shred.linked_elements(clash).count() == 1 and drift.changes(clash).count() == 0
+
+
+def test_consistent_table_has_every_field_under_one_name(spark):
+    rows = [
+        (1, "s", 1, '{"type":"user","m":{"c":[{"type":"text","id":"a"},{"type":"tool","id":"b"}]},"tags":["x"],"n":1}'),
+        (2, "s", 2, '{"kind":"user","m":{"c":[{"kind":"text","id":"a"},{"kind":{"name":"tool"}}]},"labels":["x",null],"n":"1","e":{}}'),
+        (3, "t", 1, '{"kind":{"name":"user"},"late":' + "9" * 400 + "}"), (4, "t", 1, "{broken"), (5, None, None, '{"kind":true}'),
+    ]
+    got = {(r["raw_id"], r["path"], r["ordinal"]): (r["written_path"], r["canonical"]) for r in drift.consistent(raw(spark, rows)).collect()}
+    # The name that most files have, then the smallest: kind (2 of 3 files), labels and m.c[].kind (1 of 2).
+    assert {k: v for k, v in got.items() if k[1] == "kind"} == {(1, "kind", 0): ("type", "user"), (2, "kind", 0): ("kind", "user"), (3, "kind", 0): ("kind", "user"), (5, "kind", 0): ("kind", "true")}
+    assert [got[1, "m.c[].kind", i] for i in (0, 1)] == [("m.c[].type", "text"), ("m.c[].type", "tool")]
+    assert [got[2, "m.c[].kind", i] for i in (0, 1)] == [("m.c[].kind", "text"), ("m.c[].kind", "tool")]
+    assert got[1, "labels[]", 0] == ("tags[]", "x") and got[1, "labels", 0] == ("tags", '["x"]') and got[2, "e", 0] == ("e", "{}") and got[3, "late", 0][1] == "9" * 400
+    expected = sum(1 for _, _, _, b in rows if not b.startswith("{broken") for _ in drift.walk(json.loads(b)))
+    assert len(got) == expected
+
+
+def test_names_side_by_side_are_two_fields(spark):
+    rows = [(1, "s", 1, '{"a":"v"}'), (2, "s", 2, '{"b":"v"}'), (3, "t", 1, '{"a":"1","b":"2"}')]
+    assert drift.canonical_names(raw(spark, rows)) == {}
+    assert drift.canonical_names(raw(spark, rows[:2])) == {"b": "a"}
+
+
+def test_consistent_table_is_whole(table):
+    df, rows = table
+    expected = 0
+    for *_, b in rows:
+        ok, value = shred.load(b)
+        expected += sum(1 for _ in drift.walk(value)) if ok else 0
+    got = drift.consistent(df)
+    assert got.count() == expected and not {"recordType", "record_type", "modelName"} & {r["path"] for r in got.select("path").distinct().collect()}
