@@ -282,3 +282,8 @@ def _branches(v: object) -> tuple:
     if kind == 16 and list(v) == ["name"] and type(v["name"]) is str:
         return None, None, None, text(v["name"])
     return None, None, None, text(json.dumps(v, sort_keys=True, ensure_ascii=False))
+
+
+def canonical_text(v: object) -> str:
+    """One text for a value however it is typed: of a scalar its text, of ``{"name": x}`` x, of a container its JSON."""
+    return _branches(v)[3]

@@ -15,12 +15,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return shred.linked_elements(table(spark, folder, "raw_records"))
 
 
-def p2_items(spark: SparkSession, folder: str) -> DataFrame:
-    return shred.entities(table(spark, folder, "raw_records"))["items"]
-
-
-def p2_options(spark: SparkSession, folder: str) -> DataFrame:
-    return shred.entities(table(spark, folder, "raw_records"))["options"]
+def _entity(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: shred.entities(table(spark, folder, "raw_records"), [name])[name]
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,8 +63,9 @@ def json_flatten(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_items, p2_options, p3_found, p5_found, p5_consistent, p6_found, p6_ledger, p7_found, record_fields, record_headers, record_events, json_flatten)
+    f.__name__: f for f in (p2_found, p3_found, p5_found, p5_consistent, p6_found, p6_ledger, p7_found, record_fields, record_headers, record_events, json_flatten)
 }
+QUERIES |= {f"p2_{n}": _entity(n) for n in (*shred.ENTITIES, shred.OTHERS, shred.RECORDS)}
 
 # The bodies as trees; what DuckDB calls valid JSON is the same here.
 _TREE = """WITH RECURSIVE nodes AS (SELECT r.raw_id, r.stream_key, r.file_no, t.id, t.parent, t.key, t.type, t.atom FROM (SELECT * FROM raw_records WHERE json_valid(body)) r, json_tree(r.body) t),"""

@@ -8,6 +8,7 @@ already folds the children into their object, so one row per object is shuffled,
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -175,7 +176,7 @@ def linked_elements(raw_records: DataFrame) -> DataFrame:
     return answers.select(*columns).unionByName(rest.select(*columns))
 
 
-#: Entity tables: name -> (pattern of the node's pointer, scalar children)
+#: Entity tables: name -> (pattern of the node's pointer, scalars that always have a column)
 ENTITIES = {
     "items": (r"^/message/content/\d+$", ["type", "id", "tool_use_id", "name", "text", "is_error"]),
     "blocks": (r"^/message/content/\d+/content/\d+$", ["type", "text"]),
@@ -184,13 +185,125 @@ ENTITIES = {
     "edits": (r"/edits/\d+$", ["old", "new", "old_string", "new_string"]),
     "prompts": (r"^/attachment/prompt/\d+$", ["type", "text"]),
 }
+#: Elements that no pattern takes, and what lies in a body outside of any element.
+OTHERS, RECORDS = "others", "records"
 
+_ENTITY_DDL = "raw_id long, stream_key string, node string, owner string, ordinal long, entity string, canonical_type string, fields map<string,string>"
+_ENTITY = pa.schema([
+    ("raw_id", pa.int64()), ("stream_key", pa.string()), ("node", pa.string()), ("owner", pa.string()), ("ordinal", pa.int64()),
+    ("entity", pa.string()), ("canonical_type", pa.string()), ("fields", pa.map_(pa.string(), pa.string())),
+])
+
+
+def objects(value: object) -> Iterator[tuple[str, str, int | None, str, dict]]:
+    """(node, owner, ordinal, path as ``a.b[]``, object) of the top and of every object that is an array element."""
+    if type(value) is dict:
+        yield "", "", None, "", value
+    stack = [("", "", "", value)]
+    while stack:
+        node, owner, path, v = stack.pop()
+        if type(v) is dict:
+            for k, x in v.items():
+                if type(x) is dict or type(x) is list:
+                    stack.append((f"{node}/{escape(k)}", owner, f"{path}.{k}" if path else k, x))
+        elif type(v) is list:
+            for i, x in enumerate(v):
+                at = f"{node}/{i}"
+                if type(x) is dict:
+                    yield at, owner, i, path + "[]", x
+                    stack.append((at, at, path + "[]", x))
+                elif type(x) is list:
+                    stack.append((at, owner, path + "[]", x))
+
+
+def flat(value: dict) -> dict[str, str]:
+    """The scalars of an object and of the objects in it, under dotted names (``input.command``); nulls are left out.
+
+    An array is left to its elements' own rows where all are objects; any other is its JSON, and so is an empty
+    container. A dot inside a key is written ``~1``.
+    """
+    out: dict[str, str] = {}
+    stack = [("", value)]
+    while stack:
+        before, v = stack.pop()
+        for k, x in v.items():
+            name = before + k.replace("~", "~0").replace(".", "~1")
+            if type(x) is dict and x:
+                stack.append((name + ".", x))
+            elif type(x) is dict or type(x) is list:
+                if not x or not all(type(y) is dict for y in x):
+                    out[text(name)] = text(json.dumps(x, ensure_ascii=False))
+            elif x is not None:
+                out[text(name)] = scalar(x)[1]
+    return out
+
+
+def _columns(keys: Iterable[str], taken: Iterable[str]) -> dict[str, str]:
+    """A column name for each key; one that differs from an earlier in case only gets underscores."""
+    used, out = {t.lower() for t in taken}, {}
+    for k in keys:
+        name = k
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out[k] = name
+    return out
+
+
+def entities(raw_records: DataFrame, names: Iterable[str] = (*ENTITIES, OTHERS, RECORDS)) -> dict[str, DataFrame]:
+    """The entity tables: raw_id, stream_key, node, owner, ordinal, link_raw_id, canonical_type and the entity's scalars.
+
+    A column for each scalar any row has, nested objects dotted (``flat``). All children of an object are in
+    one body, so they are folded where they are read and only names of columns reach the driver.
+    ``canonical_type`` is the discriminator under whatever name its file writes it (``drift.canonical_names``),
+    of ``{"name": x}`` x; ``link_raw_id`` is as in ``linked_elements``.
+    """
+    from .drift import canonical_names, canonical_text
+
+    names = list(names)
+    patterns = [(n, re.compile(where)) for n, (where, _) in ENTITIES.items()]
+    chief = canonical_names(raw_records)
 
-def entities(raw_records: DataFrame) -> dict[str, DataFrame]:
-    """The entity tables of ``ENTITIES``: raw_id, stream_key, node, owner, ordinal and the entity's scalars."""
-    every = sorted({k for _, keys in ENTITIES.values() for k in keys})
-    wide = pivot(shred(raw_records, every, every_object=False), every).filter("element")
-    return {
-        name: wide.filter(F.col("node").rlike(where)).select("raw_id", "stream_key", "node", "owner", "ordinal", *[F.col(f"f_{k}").alias(k) for k in keys])
-        for name, (where, keys) in ENTITIES.items()
-    }
+    def kind(path: str, v: dict) -> str | None:
+        at = lambda k: f"{path}.{k}" if path else k
+        wanted = chief.get(at("type"), at("type"))
+        same = [k for k in v if v[k] is not None and chief.get(at(k), at(k)) == wanted]
+        return canonical_text(v[min(same, key=lambda k: (k != "type", k))]) if same else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for raw_id, stream, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ok, value = load(body)
+                for node, owner, ordinal, path, v in objects(value) if ok else ():
+                    found = [n for n, where in patterns if where.search(node)] if path else [RECORDS]
+                    for n in found or [OTHERS]:
+                        if n in names:
+                            rows.append((raw_id, stream, text(node), text(owner), ordinal, n, kind(path, v), list(flat(v).items())))
+                if len(rows) >= BATCH_NODES:
+                    yield _entity_batch(rows)
+                    rows = []
+        if rows:
+            yield _entity_batch(rows)
+
+    wide = settle(raw_records.select("raw_id", "stream_key", "body").mapInArrow(run, _ENTITY_DDL), "entities")
+    keys: dict[str, set[str]] = {n: set() for n in names}
+    for r in wide.select("entity", F.explode(F.map_keys("fields")).alias("key")).distinct().collect():
+        keys[r["entity"]].add(r["key"])
+    ids = pivot(shred(raw_records, ["id"], every_object=False), ["id"]).filter("element and f_id is not null")
+    calls = settle(ids.groupBy(F.coalesce("stream_key", F.lit("")).alias("in_stream"), F.col("f_id").alias("answers")).agg(F.min("raw_id").alias("link_raw_id")), "calls")
+    wide = wide.withColumn("answers", F.when(F.col("entity") != RECORDS, F.col("fields")["tool_use_id"])).withColumn("in_stream", F.coalesce("stream_key", F.lit("")))
+    first = ["raw_id", "stream_key", "node", "owner", "ordinal", "link_raw_id", "canonical_type"]
+    out = {}
+    for n in names:
+        rows, always = wide.filter(F.col("entity") == n), ENTITIES[n][1] if n in ENTITIES else []
+        columns = _columns([*always, *sorted(keys[n] - set(always))], first)
+        none = rows.filter("answers is null").withColumn("link_raw_id", F.lit(-1).cast("long"))
+        linked = rows.filter("answers is not null").join(calls, ["in_stream", "answers"], "left").withColumn("link_raw_id", F.coalesce("link_raw_id", F.lit(-1)).cast("long"))
+        both = none.select(*first, "fields").unionByName(linked.select(*first, "fields"))
+        out[n] = both.select(*first, *[F.col("fields")[k].alias(c) for k, c in columns.items()])
+    return out
+
+
+def _entity_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ENTITY, strict=True)], schema=_ENTITY)

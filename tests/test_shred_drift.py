@@ -188,3 +188,35 @@ def test_consistent_table_is_whole(table):
         expected += sum(1 for _ in drift.walk(value)) if ok else 0
     got = drift.consistent(df)
     assert got.count() == expected and not {"recordType", "record_type", "modelName"} & {r["path"] for r in got.select("path").distinct().collect()}
+
+
+def test_entities_have_every_scalar(spark):
+    item = {"kind": {"name": "tool_use"}, "id": "c", "input": {"edits": [{"old": "a", "new": "b", "extra": 1}], "a.b": {"c": True}, "tags": ["x", 1]}, "ID": "upper", "thinking": "t"}
+    rows = [
+        (1, "s", 1, json.dumps({"m": 1, "message": {"content": [{"type": "text", "text": "q"}, {"type": "tool_use"}]}})),
+        (2, "s", 2, json.dumps({"message": {"content": [{"kind": "text", "text": "q"}, item]}, "x": [{"questions": [{"question": "?", "options": [{"label": "l"}]}]}]})),
+        (3, "s", 2, json.dumps({"message": {"content": [{"kind": "tool_result", "tool_use_id": "c", "content": "out"}]}, "attachment": {"prompt": [{"type": "text", "text": "p"}]}})),
+        (4, "s", 2, json.dumps({"message": {"content": [{"kind": "tool_result", "tool_use_id": "c", "content": [{"type": "text", "source": {"data": "d"}}]}]}})), (5, "s", 2, "{"),
+    ]
+    got = {n: {(r["raw_id"], r["node"]): r.asDict() for r in t.collect()} for n, t in shred.entities(raw(spark, rows)).items()}
+    tool = got["items"][2, "/message/content/1"]
+    assert (tool["input.a~1b.c"], tool["input.tags"], tool["thinking"], tool["canonical_type"], tool["kind.name"], tool["link_raw_id"]) == ("true", '["x", 1]', "t", "tool_use", "tool_use", -1)
+    assert {tool["id"], tool["ID_"] if "ID_" in tool else tool["id_"]} == {"c", "upper"}
+    assert [got["items"][i, "/message/content/0"][k] for i in (3, 4) for k in ("link_raw_id", "content", "canonical_type")] == [2, "out", "tool_result", 2, None, "tool_result"]
+    assert got["blocks"][4, "/message/content/0/content/0"]["source.data"] == "d" and got["prompts"][3, "/attachment/prompt/0"]["text"] == "p" and got["records"][1, ""]["m"] == "1"
+    assert got["edits"][2, "/message/content/1/input/edits/0"]["extra"] == "1" and got["edits"][2, "/message/content/1/input/edits/0"]["owner"] == "/message/content/1"
+    assert list(got["questions"]) == [(2, "/x/0/questions/0")] and list(got["options"]) == [(2, "/x/0/questions/0/options/0")] and list(got["others"]) == [(2, "/x/0")]
+    assert shred.entities(raw(spark, []), ["items"])["items"].count() == 0
+
+
+def test_entities_are_whole(table):
+    df, rows = table
+    import __spark_entry__
+
+    assert {"p2_items", "p2_blocks", "p2_questions", "p2_options", "p2_edits", "p2_prompts", "p2_others", "p2_records"} <= set(__spark_entry__.queries())
+    tables = shred.entities(df)
+    assert sum(tables[n].count() for n in tables if n != "records") == len(elements(rows))
+    expected = sum(len(shred.flat(v)) for *_, b in rows for ok, top in [shred.load(b)] if ok for *_, v in shred.objects(top))
+    assert sum(r[c] is not None for t in tables.values() for r in t.collect() for c in r.asDict() if c not in ("raw_id", "stream_key", "node", "owner", "ordinal", "link_raw_id", "canonical_type")) == expected
+    links = {(r["raw_id"], r["child_path"]): r["link_raw_id"] for r in shred.linked_elements(df).collect()}
+    assert all(links[r["raw_id"], r["node"]] == r["link_raw_id"] and r["canonical_type"] for r in tables["items"].collect())
