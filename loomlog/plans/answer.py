@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import discard, settle
 from . import ask, said, search, sessions
 
 
@@ -35,6 +36,8 @@ class Options:
     unread: int = 12
     more_terms: int = 8
     rounds: int = 2
+    claims: int = 6
+    later: int = 12
 
 
 class Writer(Protocol):
@@ -52,6 +55,7 @@ class Report:
     recent: list[dict] = field(default_factory=list)
     digest: list[dict] = field(default_factory=list)
     unread: list[dict] = field(default_factory=list)
+    later: list[dict] = field(default_factory=list)
     search: dict = field(default_factory=dict)
 
     def to_json(self) -> str:
@@ -63,16 +67,65 @@ def _columns(events: DataFrame) -> DataFrame:
 
 
 def candidates(events: DataFrame, terms: list[str], options: Options) -> DataFrame:
-    """The newest hits of each term, the person's and the agent's apart, as one row per record, ranked."""
+    """The person's newest hits of each term and, as many as the agent's newest would be, the agent's rarest of each month; one row per record, ranked.
+
+    What of the person's is older than that, or holds no term, is found by ``swept``.
+    """
     variants = [v for t in terms for v in (t, *T.spacing_variants(t))]
     hits = search.matches(_columns(events), variants, ignore_case=True)
-    person = ask.per_term(hits.filter("human_text is not null"), options.person_per_term)
-    agent = ask.per_term(hits.filter("reply_text is not null"), options.agent_per_term)
+    person = ask.per_term(hits.filter("human_text is not null"), options.person_per_term).drop("rank")
+    replies = hits.filter("reply_text is not null")
+    quota = ask.per_term(replies, options.agent_per_term).select("event_index").distinct().count()
+    dated = ask.idf_scores(replies).withColumn("idf", F.round("idf", 9)).join(replies.select("event_index", "event_date", "instant_us").dropDuplicates(["event_index"]), "event_index")
+    agent = replies.join(ask.select_by_month(dated, quota).select("event_index"), "event_index", "left_semi")
     both = person.unionByName(agent)
-    found = ask.union_of_terms(both).join(both.dropDuplicates(["event_index"]).drop("query", "rank"), "event_index")
+    found = ask.union_of_terms(both).join(both.dropDuplicates(["event_index"]).drop("query"), "event_index")
     return ask.ranked(found).limit(options.candidates)
 
 
+def judged(messages: DataFrame, question: str, scorer: ask.Scorer) -> DataFrame:
+    """(event_index, score) of every message, by its best piece; those without a score as 1, as if near."""
+    return ask.best_piece(ask.screened(ask.sweep(messages), question, scorer)).select("event_index", F.coalesce("score", F.lit(1)).alias("score"))
+
+
+def swept(events: DataFrame, question: str, scorer: ask.Scorer, options: Options) -> tuple[list[dict], int, int]:
+    """Every message of the person's screened, whatever words it has: the best, how many were screened and how many of them are relevant (2 or 3)."""
+    person = said.person(_columns(events)).filter(F.length(T.strip(F.col("human_text"))) > 0)
+    scores = judged(person, question, scorer)
+    scores = settle(scores, "swept")
+    counts = scores.agg(F.count("*").alias("n"), F.count(F.when(F.col("score") >= 2, 1)).alias("relevant")).first()
+    best = person.join(scores.filter("score >= 1"), "event_index").orderBy(F.desc("score"), F.desc_nulls_last("instant_us"), "event_index").limit(options.candidates)
+    out = [r.asDict() for r in best.collect()]
+    discard(scores)
+    return out, counts["n"], counts["relevant"]
+
+
+def later_messages(events: DataFrame, findings: list[dict], evidence: list[dict], scorer: ask.Scorer, options: Options) -> list[dict]:
+    """What the person wrote after the records of verified findings and that a screen for the finding's quote finds relevant: it may undo them.
+
+    Every later message is screened, not only those that hold a term; of what is relevant the findings take in turn.
+    """
+    by = {e["id"]: e for e in evidence}
+    claims: list[tuple[int, int, int, str]] = []
+    for f in findings:
+        own = by.get(f["evidence"])
+        if f["quote_verified"] and own and own["instant_us"] is not None and own["event_index"] not in {c[2] for c in claims} and len(claims) < options.claims:
+            claims.append((len(claims) + 1, own["instant_us"], own["event_index"], f["quote"]))
+    if not claims:
+        return []
+    person = said.person(_columns(events))
+    after = ask.written_after(events.sparkSession.createDataFrame([c[:3] for c in claims], "claim int, instant_us long, event_index long"), person, options.claims)
+    found = None
+    for claim, *_, quote in claims:
+        of = judged(person.join(after.filter(F.col("claim") == claim).select("event_index"), "event_index", "left_semi"), quote, scorer).filter("score >= 2").withColumn("claim", F.lit(claim))
+        found = of if found is None else found.unionByName(of)
+    placed = found.join(person.select("event_index", "instant_us"), "event_index").withColumn("pos", F.struct(-F.col("score"), "instant_us", "event_index"))
+    taken = ask.take_in_turn(placed, options.later)
+    rows = taken.join(person.select("event_index", "session", "event_date", "text"), "event_index").orderBy("turn", "claim", "event_index").collect()
+    quotes = {c[0]: c[3] for c in claims}
+    return [{k: r[k] for k in ("event_index", "session", "event_date", "text")} | {"after": quotes[r["claim"]]} for r in rows]
+
+
 def recent_tail(events: DataFrame, options: Options) -> DataFrame:
     """The last messages of the latest sessions."""
     spoken = _columns(events).filter("human_text is not null or reply_text is not null")
@@ -146,21 +199,28 @@ def answer(events: DataFrame, question: str, scorer: ask.Scorer | None = None, w
         report.terms = T.distinct_terms([*report.terms, *ask_for], options.terms + options.more_terms)
         if any(r["score"] >= 2 for r in seen.values()):
             break
+    best, screened, relevant_swept = swept(events, question, scorer, options)
+    for r in best:
+        # A message's score is that of its best piece, where one is better than the whole was.
+        had = seen.get(r["event_index"])
+        if had is None or r["score"] > had["score"]:
+            seen[r["event_index"]] = (had or {}) | r
     pool = [r for r in seen.values() if r["score"] >= 1]
     relevant = _spread([r for r in pool if r["score"] >= 2]) or sorted(pool, key=lambda r: -r["score"])[: options.closest]
     read, rest = relevant[: options.read], relevant[options.read :]
-    report.evidence = [{k: r[k] for k in ("event_index", "session", "sender", "event_date", "text", "score")} | {"id": i + 1, "context": r["context"]} for i, r in enumerate(blocks(events, read, options))]
+    report.evidence = [{k: r[k] for k in ("event_index", "session", "sender", "event_date", "instant_us", "text", "score")} | {"id": i + 1, "context": r["context"]} for i, r in enumerate(blocks(events, read, options))]
     report.digest = ask.within_budget([{"event_index": r["event_index"], "text": r["text"] or ""} for r in rest], options.digest_chars)
     report.recent = [{"session": r["session"], "sender": r["sender"], "text": r["text"]} for r in recent_tail(events, options).collect()]
     sessions_read = events.sparkSession.createDataFrame([(r["session"],) for r in read], "session string")
     unread = ask.unread_sessions(said.person(events), F.broadcast(sessions_read)).orderBy(F.desc_nulls_last("ended"), "session").limit(options.unread)
     report.unread = [r.asDict() for r in unread.collect()]
-    report.search = {"candidates": len(seen), "relevant": len(pool), "read": len(read), "left_out": len(rest) - len(report.digest)}
+    report.search = {"candidates": len(seen), "relevant": len(pool), "read": len(read), "left_out": len(rest) - len(report.digest), "swept": screened, "swept_relevant": relevant_swept}
     if not report.evidence:
         report.disposition = "no_evidence"
     elif writer and (reply := written(writer, question, [e["context"] for e in report.evidence])):
         report.answer = reply["answer"]
         report.findings = [_checked(f, report.evidence) for f in reply["findings"]]
+        report.later = later_messages(events, report.findings, report.evidence, scorer, options)
     else:
         report.disposition = "evidence_only"
     return report

@@ -1,6 +1,7 @@
 """The question pipeline on the test table."""
 
 import json
+from datetime import datetime
 
 import pytest
 
@@ -57,3 +58,34 @@ def test_spread_is_the_plan(spark):
     rows = [{"score": s, "session": x, "pos": i} for i, (s, x) in enumerate([(2, "a"), (2, "a"), (3, "b"), (2, "c"), (3, "b"), (2, "a")])]
     df = spark.createDataFrame([(r["score"], r["session"], r["pos"]) for r in rows], "score int, session string, pos int")
     assert [r["pos"] for r in A._spread(rows)] == [r["pos"] for r in ask.spread_order(df).collect()]
+
+
+class Paraphrase:
+    """Knows what the question means by other words than its terms."""
+
+    def plan(self, question):
+        return ["retry"]
+
+    def screen(self, question, texts):
+        return [3 if "give up after" in t or (question.startswith("retry") and "forget that rule" in t) else 1 if "retry" in t else 0 for t in texts]
+
+
+def test_stages_of_the_answer(spark, session_rows):
+    base = {"source_id": "a", "session_id": "s", "record_type": "user", "msg_role": "user", "item_type": "text"}
+    reply = base | {"record_type": "assistant", "msg_role": "assistant"}
+    rows = [base | {"item_text": "x" * 900 + " give up after three attempts " + "y" * 500, "written_at": "2024-01-01T00:00:00Z"}]
+    rows += [base | {"item_text": f"retry {i}", "written_at": f"2024-03-01T00:{i:02}:00Z"} for i in range(5)]
+    rows += [reply | {"item_text": f"retry reply {i}", "written_at": f"2024-{'01' if i == 0 else '03'}-02T00:{i:02}:00Z"} for i in range(5)]
+    rows += [base | {"item_text": "forget that rule", "written_at": "2024-04-01T00:00:00Z"}]
+    ev = events.session_events(session_rows([r | {"record_id": i, "line_no": i, "uuid": str(i), "received_at": datetime.fromisoformat(r["written_at"])} for i, r in enumerate(rows)])).cache()
+    # The month's quota keeps an old reply that the newest two leave out.
+    found = A.candidates(ev, ["retry"], A.Options(agent_per_term=2)).collect()
+    assert {r["event_date"][:7] for r in found if r["sender"] != "human"} == {"2024-01", "2024-03"}
+    # The sweep finds a message without any term, by a piece in its middle.
+    r = A.answer(ev, "what is the limit", Paraphrase(), Writer({"answer": "3", "findings": [{"evidence": 1, "quote": "give up after three"}]}))
+    assert r.evidence[0]["text"].startswith("xxx") and r.search["swept"] == 7 and r.search["swept_relevant"] == 1
+    assert r.later == []
+    w = Writer({"answer": "r", "findings": [{"evidence": 1, "quote": "retry 4"}]})
+    r = A.answer(ev.filter("text not like 'x%'"), "limit", Paraphrase(), w, options=A.Options(closest=1))
+    assert [x["text"] for x in r.later] == ["forget that rule"] and r.later[0]["after"] == "retry 4"
+    ev.unpersist()
