@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch
+from ..runtime import newest_complete, scratch
 
 #: Dispositions whose attempt read the log from its first byte.
 WHOLE = ("source_rewritten", "source_rebuilt")
@@ -69,13 +69,19 @@ def pending_records(changes: DataFrame, records: DataFrame) -> DataFrame:
 
 
 class WorkLedger:
-    """A durable ledger for runs of this engine; states live in versioned Parquet snapshots."""
+    """A durable ledger for runs of this engine; states live in versioned Parquet snapshots, one writer at a time.
+
+    Opened on a folder that has a ledger it goes on from the newest complete version: done items stay done and
+    tokens grow on. A version whose write broke off is written anew.
+    """
 
     COLUMNS = "source_id string, from_byte long, to_byte long, state string, token long, expires_at double, output string"
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.version = spark, path or scratch(spark, "ledger"), 0
-        self._save(spark.createDataFrame([], self.COLUMNS))
+        self.spark, self.path = spark, path or scratch(spark, "ledger")
+        self.version = newest_complete(spark, self.path)
+        if not self.version:
+            self._save(spark.createDataFrame([], self.COLUMNS))
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.COLUMNS).parquet(f"{self.path}/{self.version}")

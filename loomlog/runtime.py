@@ -43,6 +43,35 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def newest_complete(spark: SparkSession, path: str) -> int:
+    """The highest numbered sub-folder of ``path`` whose write was finished; 0 where there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return 0
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdecimal()]
+    return max((n for n in numbers if fs.exists(hadoop(f"{path}/{n}/_SUCCESS"))), default=0)
+
+
+def kept_number(spark: SparkSession, path: str, number: int) -> int:
+    """The number stored at ``path``; where there is none, ``number``, which is then stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at, new = hadoop(path), hadoop(f"{path}.{uuid.uuid4().hex}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        out = fs.create(new)
+        out.writeUTF(str(number))
+        out.close()
+        if not fs.rename(new, at):
+            fs.delete(new, False)
+    stored = fs.open(at)
+    try:
+        return int(stored.readUTF())
+    finally:
+        stored.close()
+
+
 def settle(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession

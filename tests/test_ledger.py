@@ -43,3 +43,18 @@ def test_leases_fencing_and_retries(spark):
     assert led.commit(fresh, now=12).count() == 0
     assert led.table().filter("state = 'done'").count() == 1
     assert led.lease(now=30, seconds=10).count() == 1
+
+
+def test_ledger_opened_again(spark, tmp_path):
+    path, keys = f"file://{tmp_path}/ledger", "source_id string, from_byte long, to_byte long"
+    led = L.WorkLedger(spark, path)
+    led.offer(spark.createDataFrame([("s", 0, 10), ("s", 10, 20)], keys))
+    held = led.lease(now=0, seconds=10).collect()
+    done = spark.createDataFrame([(*held[0][:3], 1)], keys + ", token long")
+    assert led.commit(done, now=1).count() == 0
+    (tmp_path / "ledger" / str(led.version + 1)).mkdir()  # a save that broke off
+    again = L.WorkLedger(spark, path)
+    assert again.version == led.version and sorted(r["state"] for r in again.table().collect()) == ["done", "leased"]
+    assert again.commit(done, now=2).count() == 1
+    assert [r["token"] for r in again.lease(now=11, seconds=10).collect()] == [2]
+    assert again.commit(spark.createDataFrame([(*held[1][:3], 1)], keys + ", token long"), now=12).count() == 1
