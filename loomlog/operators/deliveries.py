@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import scratch
+from ..runtime import kept_number, newest_complete, scratch
 from .timestamps import with_instant
 
 # The characters of Unicode white space.
@@ -183,13 +183,16 @@ def _bucket(key: tuple, table: pa.Table, old: pa.Table | None = None) -> pa.Tabl
 
 
 class IdentifierIndex:
-    """The persisted index: a folder with one sub-folder of immutable runs per ingestion."""
+    """The persisted index: a folder with one sub-folder of immutable runs per ingestion; one writer at a time.
+
+    An index opened on a folder takes up its newest complete generation and its number of prefixes.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, rows_expected: int = 0) -> None:
         """``rows_expected`` fixes the number of prefixes of a new index; it stays for the index's life."""
         self.spark, self.path = spark, path or scratch(spark, "identifiers")
-        self.prefixes = max(1, -(-rows_expected // BUCKET_ROWS))
-        self.generation = 0
+        self.prefixes = kept_number(spark, f"{self.path}/prefixes", max(1, -(-rows_expected // BUCKET_ROWS)))
+        self.generation = newest_complete(spark, self.path)
 
     def _rows(self, keyed: DataFrame) -> DataFrame:
         narrow = keyed.select(

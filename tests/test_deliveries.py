@@ -72,3 +72,16 @@ def test_empty_nulls_and_clashing_columns(session_rows, zones):
     rows = [{"record_id": None}, {"record_id": 1}, {"record_id": 2}, {"record_id": 3, "uuid": "  "}]
     out = D.surplus_copies(session_rows(rows, "k1 long, prefix string, lost boolean, instant_us long"), zones([]))
     assert sorted(r[0] for r in out.collect()) == [2, 3]
+
+
+def test_index_opened_again(spark, tmp_path):
+    """A second object on the folder knows what the first one took in, prefixes included."""
+    keyed = spark.createDataFrame([(i, 7 * k << 20, k, None, 1) for i, k in enumerate([1, 2, 3, 4] * 3)], "record_id long, k1 long, k2 long, received_at timestamp, batch_no int")
+    path = f"file://{tmp_path}/index"
+    first = D.IdentifierIndex(spark, path, rows_expected=5 * D.BUCKET_ROWS)
+    assert first.ingest(keyed.filter("record_id < 4")).count() == 0
+    (tmp_path / "index" / "2").mkdir()  # an ingestion that broke off
+    again = D.IdentifierIndex(spark, path)
+    assert (again.generation, again.prefixes) == (1, 5)
+    assert sorted(r[0] for r in again.ingest(keyed.filter("record_id between 4 and 7")).collect()) == [4, 5, 6, 7]
+    assert sorted(r[0] for r in D.IdentifierIndex(spark, path, rows_expected=1).ingest(keyed.filter("record_id > 7")).collect()) == [8, 9, 10, 11]
