@@ -87,8 +87,7 @@ def changes(raw_records: DataFrame, schemas: DataFrame | None = None) -> DataFra
     """(stream_key, file_no, change_kind, field_path, new_path): each file against the one before it in its stream.
 
     ``removed``, ``added``, ``retyped`` and ``renamed`` as TESTDATA.md has them; a renamed pair is reported
-    once, not as removed and added too. Where one path could be renamed to several, the pair first in order
-    of (old path, new path) counts, each path once. A file without valid lines has no paths. Lines without a
+    once, not as removed and added too. Where one path shares values with several, each pair is reported. A file without valid lines has no paths. Lines without a
     stream or file number belong to no file and are left out; an empty table has no changes. ``schemas``:
     the settled ``file_schemas`` of these lines, where they are at hand.
     """
@@ -110,7 +109,7 @@ def changes(raw_records: DataFrame, schemas: DataFrame | None = None) -> DataFra
     kind = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("new") != F.col("old"), "retyped")
     found = settle(both.withColumn("change_kind", kind).filter(F.col("change_kind").isNotNull()), "changes")
     renamed = settle(_renames(raw_records, found, files), "renames")
-    gone = renamed.select("stream_key", "file_no", F.explode(F.array("field_path", "new_path")).alias("path"))
+    gone = renamed.select("stream_key", "file_no", F.explode(F.array("field_path", "new_path")).alias("path")).distinct()
     plain = found.join(gone, ["stream_key", "file_no", "path"], "left_anti")
     plain = plain.select("stream_key", "file_no", "change_kind", F.col("path").alias("field_path"), F.lit("").alias("new_path"))
     return plain.unionByName(renamed.select("stream_key", "file_no", F.lit("renamed").alias("change_kind"), "field_path", "new_path"))
@@ -131,14 +130,7 @@ def _renames(raw_records: DataFrame, found: DataFrame, files: DataFrame) -> Data
     values = values.withColumn("parent", _parent("path"))
     a = values.filter("old").select(*key, "value", F.col("path").alias("field_path"))
     b = values.filter("not old").select(*key, "value", F.col("path").alias("new_path"))
-    pairs = a.join(b, [*key, "value"]).select("stream_key", "file_no", "field_path", "new_path").distinct()
-    # Each path once: the first pair in order; a comparison's pairs are as few as its changed paths.
-    taken = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("field_path", "new_path"))),
-        F.expr("cast(array() as array<struct<field_path:string,new_path:string>>)"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["field_path"] == x["field_path"]) | (y["new_path"] == x["new_path"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return pairs.groupBy("stream_key", "file_no").agg(taken.alias("pairs")).select("stream_key", "file_no", F.inline("pairs"))
+    return a.join(b, [*key, "value"]).select("stream_key", "file_no", "field_path", "new_path").distinct()
 
 
 _VALUES_DDL = "stream_key string, file_no int, path string, old boolean, value binary"

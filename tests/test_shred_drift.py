@@ -220,3 +220,9 @@ def test_entities_are_whole(table):
     assert sum(r[c] is not None for t in tables.values() for r in t.collect() for c in r.asDict() if c not in ("raw_id", "stream_key", "node", "owner", "ordinal", "link_raw_id", "canonical_type")) == expected
     links = {(r["raw_id"], r["child_path"]): r["link_raw_id"] for r in shred.linked_elements(df).collect()}
     assert all(links[r["raw_id"], r["node"]] == r["link_raw_id"] and r["canonical_type"] for r in tables["items"].collect())
+
+
+def test_every_renamed_pair(spark):
+    rows = [(1, "s", 1, '{"a":"v","d":"w"}'), (2, "s", 1, '{"a":"u"}'), (3, "s", 2, '{"b":"v","c":"u","e":"w","f":"q"}')]
+    got = [tuple(r)[2:] for r in drift.changes(raw(spark, rows)).collect()]
+    assert sorted(got) == [("added", "f", ""), ("renamed", "a", "b"), ("renamed", "a", "c"), ("renamed", "d", "e")]
