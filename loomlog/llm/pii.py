@@ -30,6 +30,7 @@ FOLDER_CACHE = 50_000
 FIELDS = ("item_text", "item_content", "cwd")
 DEFAULT_KEY = "loomlog"
 
+# Each ``_MAY_`` test lets pass whatever the patterns behind it match (by tests).
 # --- emails ---------------------------------------------------------------------------------------------
 _LOCAL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]"
 _DOMAIN = r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
@@ -59,7 +60,7 @@ PHONE = re.compile(
     r"|0\d{2,4} \d{3,4} \d{4}"  # 020 7946 0827
     r")(?![\w-]|\.\d)(?: ?(?:ext\.?|x) ?\d{1,5})?"
 )
-_MAY_PHONE = re.compile(r"\d{3}[-. /)]|\+\d|\d{2}[ .]\d{2}|[０-９]{3}")
+_MAY_PHONE = re.compile(r"\d{3}[-. /)]|\+\d|\d{2}[ .-]\d{2}|[０-９]{3}")
 
 # --- identity numbers -----------------------------------------------------------------------------------
 _NI = r"[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Da-d]"
@@ -75,7 +76,7 @@ IDNUM = re.compile(
 CUED_IDNUM = re.compile(
     rf"(?:{_CUED}[ \t]*[:=#]?[ \t]*[\"']?|\('[^'\n]*', ')((?:\d{{9}}|\d{{3}}([- .]?)\d{{2}}\2\d{{4}}|[A-Za-z]\d{{8}}|[A-Za-z]{{1,2}}[ -]?\d{{6,7}}|\d{{8}}[- ]?[A-Za-z]))(?![\w-]|\.\d)", re.IGNORECASE
 )
-_MAY_IDNUM = re.compile(r"\d{7}|\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{2} \d{2}|[A-Za-z]{2}\d{6}")
+_MAY_IDNUM = re.compile(r"\d{2} ?\d{2} ?\d{2}|\d{3}[-.]\d{2}[-.]\d{4}")
 
 # --- addresses ------------------------------------------------------------------------------------------
 _CAP = r"[A-ZÀ-Þ][\w'’-]*"
@@ -94,7 +95,7 @@ ADDRESS = re.compile(
     + rf"|(?<![\w-])(?:{_FLAT})?(?:{_ES}) (?:(?:de las|de los|de la|del|de|las|los|la|el) )*{_CAP}(?:[ -](?:de |del |la )?{_CAP})*,? (?:n\.?º ?)?\d{{1,4}}\b"
     + f"){_TOWN}"
 )
-_MAY_ADDRESS = re.compile(rf" (?:{_EN})\b|\d,? (?:{_FR}|{_FR.title()})\b|(?:{_DE}|Straße|Gasse|Weg|Platz|Allee) ?\d|(?:{_ES}) ")
+_MAY_ADDRESS = re.compile(rf" (?:{_EN})\b|\d[A-Za-z]?(?: ?(?:bis|ter|[A-D]))?,? (?:{_FR}|{_FR.title()})\b|(?:{_DE}|Straße|Strasse|Str\.|Gasse|Weg|Ring|Allee|Platz|Ufer|Damm) ?\d|(?:{_ES}) ")
 
 # --- names ----------------------------------------------------------------------------------------------
 _W = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
@@ -122,7 +123,7 @@ FRAMED_NAME = re.compile(
     rf"\bBitte {_TITLE}({NAME}) unter [+\d(＋０-９]|\bcc {_TITLE}({NAME})(?=, (?:phone|tel|mail)|\n|$| <|,)|\bAsk {_TITLE}({NAME}) \(|\b(?:From|To|Cc): {_TITLE}({NAME})(?= <)|({NAME})(?= <[^<>\s@＠]*(?:[@＠]| at | ?[(\[]at))|({NAME}) reported it"
 )
 _MAY_NAME = re.compile(
-    r"(?:-by|[Mm]aintainer|[Aa]uthor|[Oo]wner|[Aa]ssignee|Customer|customer|Contact|contact_name|Committer|Patient|Attn|deliver to|ship to|belongs to|titular|[Mm]y name is|Bitte|Ask|cc|VALUES|row \d+|From|To|Cc|reported it|[nN]ame|M[rs]s?|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|heiße|llamo|appelle)[ :.='\">(]"
+    r"(?:-by|[Mm]aintainer|[Aa]uthor|[Oo]wner|[Aa]ssignee|Customer|customer|Contact|contact_name|Committer|Patient|Attn|deliver to|ship to|belongs to|titular|[Mm]y name is|Bitte|Ask|cc|VALUES|row \d+|From|To|Cc|[nN]ame|M[rs]s?|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|heiße|llamo|appelle)[ :.='\">(]| reported it| <[^<>\s@＠]*(?:[@＠]| at | ?[(\[]at)"
 )
 # Words that open a phrase but are no names.
 NO_NAME = frozenset("the a an this that these those it its is was my your our and or not for with from to of in on at by if when then let use no yes please next first last all any der die das ein eine el la los las un una le les".split())

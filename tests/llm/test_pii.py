@@ -1,6 +1,8 @@
 """Problem 1: forms of each kind, look-alikes, and the round trip of replacing."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from loomlog.llm import pii
 from tests.conftest import TESTDATA
@@ -119,3 +121,27 @@ def test_empty_nulls_and_clashing(session_rows, spark):
     assert sorted((str(r.record_id), r.field_name) for r in pii.entities(cs, hints).collect()) == [("1", "item_text"), ("None", "cwd")]
     assert pii.entities(session_rows([]), hints).count() == 0 and pii.redact(session_rows([]), hints.limit(0)).count() == 0
     assert pii.redact(cs, hints, mode="surrogate").filter("record_id = 1").count() == 1
+
+
+GATES = [
+    (pii.EMAIL, pii._MAY_EMAIL), (pii.PHONE, pii._MAY_PHONE), (pii.IDNUM, pii._MAY_IDNUM), (pii.CUED_IDNUM, pii._MAY_IDNUM),
+    (pii.ADDRESS, pii._MAY_ADDRESS), (pii.CUED_NAME, pii._MAY_NAME), (pii.FRAMED_NAME, pii._MAY_NAME),
+]
+
+
+@pytest.mark.parametrize("pattern, gate", GATES)
+def test_gates_let_pass_what_patterns_match(pattern, gate):
+    @settings(max_examples=300, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(pattern))
+    def check(s):
+        assert gate.search(s), s
+
+    check()
+
+
+@pytest.mark.parametrize("kind, s", [
+    ("address", "Berliner Ring 5"), ("address", "Am Ufer 12"), ("address", "Berliner Strasse 4"), ("address", "12 bis rue de la Paix"), ("address", "12B rue Monge"),
+    ("idnum", "NINO QQ 279094 B"), ("idnum", "SSN: 123.45.6789"), ("idnum", "passport A123456"), ("phone", "01-99-00-53-29"), ("name", "Mira Castrovel <mc@example.org>"), ("name", "Mira Castrovel reported it"),
+])
+def test_values_alone_in_a_text(kind, s):
+    assert kind in {k for k, *_ in pii.Detector().text(s)}
