@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, settle
-from .shred import load, text
+from .shred import dumps, load, text
 
 # The bit of each JSON type.
 TYPES = {"string": 1, "number": 2, "boolean": 4, "array": 8, "object": 16}
@@ -273,7 +273,7 @@ def _branches(v: object) -> tuple:
         return None, _number(v), None, json.dumps(v)
     if kind == 16 and list(v) == ["name"] and type(v["name"]) is str:
         return None, None, None, text(v["name"])
-    return None, None, None, text(json.dumps(v, sort_keys=True, ensure_ascii=False))
+    return None, None, None, text(dumps(v, sort_keys=True))
 
 
 def canonical_text(v: object) -> str:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import settle
 
-#: Nodes a task gives on at a time.
+#: Nodes a task gives on at a time, and characters of their places.
 BATCH_NODES = 20_000
+BATCH_CHARS = 1 << 24
 
 NODES = "raw_id long, stream_key string, node string, parent string, label string, ordinal long, kind string, scalar string, element boolean, owner string"
 _SCHEMA = pa.schema([
@@ -38,23 +39,139 @@ _decode_long = json.JSONDecoder(parse_constant=_refuse, parse_int=float).decode
 def load(body: str | None) -> tuple[bool, object]:
     """(whether ``body`` is valid JSON, its value). Of a repeated key the last value counts.
 
-    NULL, blank, cut and NaN-bearing bodies are invalid, as is nesting too deep for the parser.
+    NULL, blank, cut and NaN-bearing bodies are invalid. Nesting may be of any depth.
     """
     if body is None:
         return False, None
     try:
         return True, _decode(body)
     except RecursionError:
-        return False, None
+        return _load_deep(body)
     except ValueError as e:
         if "integer string conversion" not in str(e):
             return False, None
     try:
         return True, _decode_long(body)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _load_deep(body)
+    except ValueError:
+        return False, None
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?", re.ASCII)
+_WORDS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def _load_deep(body: str) -> tuple[bool, object]:
+    """As ``load``, with a stack of its own: for bodies nested deeper than the parser's calls may be."""
+    try:
+        return True, _deep(body)
+    except (ValueError, IndexError):
         return False, None
 
 
+def _deep(s: str) -> object:
+    skip, string = _SPACE.match, json.decoder.scanstring
+    top: list = []
+    stack: list[tuple[object, str | None]] = [(top, None)]  # open containers, the key each waits to fill
+    i = skip(s, 0).end()
+    while True:
+        held, key = stack[-1]
+        c = s[i]
+        value: object
+        opened = c in "{["
+        if opened:
+            value, i = ({} if c == "{" else []), i + 1
+        elif c == '"':
+            value, i = string(s, i + 1, True)
+        elif c in _WORDS:
+            word, value = _WORDS[c]
+            if not s.startswith(word, i):
+                raise ValueError(i)
+            i += len(word)
+        else:
+            m = _NUMBER.match(s, i)
+            if not m:
+                raise ValueError(i)
+            if m[1] or m[2]:
+                value = float(m[0])
+            else:
+                try:
+                    value = int(m[0])
+                except ValueError:  # more digits than an integer may be read from
+                    value = float(m[0])
+            i = m.end()
+        if key is None:
+            held.append(value)
+        else:
+            held[key] = value
+        if opened:
+            i = skip(s, i).end()
+            if s[i] != ("}" if c == "{" else "]"):
+                key, i = _key(s, i) if c == "{" else (None, i)
+                stack.append((value, key))
+                continue
+            i += 1
+        while True:  # after a value: close containers, or go on to the next value
+            i = skip(s, i).end()
+            if len(stack) == 1:
+                if i != len(s):
+                    raise ValueError(i)
+                return top[0]
+            held, key = stack[-1]
+            c, i = s[i], i + 1
+            if c == ",":
+                i = skip(s, i).end()
+                if key is not None:
+                    key, i = _key(s, i)
+                    stack[-1] = held, key
+                break
+            if c != ("]" if key is None else "}"):
+                raise ValueError(i)
+            stack.pop()
+
+
+def _key(s: str, i: int) -> tuple[str, int]:
+    """The key that begins at ``i``, and where its value begins."""
+    if s[i] != '"':
+        raise ValueError(i)
+    key, i = json.decoder.scanstring(s, i + 1, True)
+    i = _SPACE.match(s, i).end()
+    if s[i] != ":":
+        raise ValueError(i)
+    return key, _SPACE.match(s, i + 1).end()
+
+
+def dumps(value: object, sort_keys: bool = False) -> str:
+    """JSON of ``value``, as ``json.dumps`` writes it, at any depth."""
+    try:
+        return json.dumps(value, sort_keys=sort_keys, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    stack: list[object] = [(value,)]  # a tuple is a value to write, a string is text
+    while stack:
+        x = stack.pop()
+        if type(x) is str:
+            out.append(x)
+            continue
+        v = x[0]
+        if type(v) is dict and v:
+            parts: list[object] = []
+            for k in sorted(v) if sort_keys else v:
+                parts += [(", " if parts else "{") + json.dumps(k, ensure_ascii=False) + ": ", (v[k],)]
+            stack += reversed([*parts, "}"])
+        elif type(v) is list and v:
+            parts = []
+            for y in v:
+                parts += [", " if parts else "[", (y,)]
+            stack += reversed([*parts, "]"])
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
 def text(s: str) -> str:
     """``s`` in a form every sink can write: lone surrogates become question marks."""
     try:
@@ -122,6 +239,7 @@ def shred(raw_records: DataFrame, labels: Iterable[str] | None = None, every_obj
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        chars = 0
         for batch in batches:
             for raw_id, stream, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ok, value = load(body)
@@ -129,9 +247,10 @@ def shred(raw_records: DataFrame, labels: Iterable[str] | None = None, every_obj
                     continue
                 for node, parent, label, *rest in nodes(value, wanted, every_object):
                     rows.append((raw_id, stream, text(node), parent and text(parent), label and text(label), *rest[:-1], text(rest[-1])))
-                if len(rows) >= BATCH_NODES:
-                    yield _batch(rows)
-                    rows = []
+                    chars += len(node)
+                    if len(rows) >= BATCH_NODES or chars >= BATCH_CHARS:
+                        yield _batch(rows)
+                        rows, chars = [], 0
         if rows:
             yield _batch(rows)
 
@@ -232,7 +351,7 @@ def flat(value: dict) -> dict[str, str]:
                 stack.append((name + ".", x))
             elif type(x) is dict or type(x) is list:
                 if not x or not all(type(y) is dict for y in x):
-                    out[text(name)] = text(json.dumps(x, ensure_ascii=False))
+                    out[text(name)] = text(dumps(x))
             elif x is not None:
                 out[text(name)] = scalar(x)[1]
     return out

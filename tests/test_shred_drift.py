@@ -4,6 +4,8 @@ import json
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomlog.operators import drift, shred
 
@@ -226,3 +228,31 @@ def test_every_renamed_pair(spark):
     rows = [(1, "s", 1, '{"a":"v","d":"w"}'), (2, "s", 1, '{"a":"u"}'), (3, "s", 2, '{"b":"v","c":"u","e":"w","f":"q"}')]
     got = [tuple(r)[2:] for r in drift.changes(raw(spark, rows)).collect()]
     assert sorted(got) == [("added", "f", ""), ("renamed", "a", "b"), ("renamed", "a", "c"), ("renamed", "d", "e")]
+
+
+LEVELS = 60_000
+DEEP = "[" * LEVELS + '{"a":[{"id":"x"},{"tool_use_id":"x"}]}' + "]" * LEVELS
+
+
+def test_any_depth(spark):
+    """Nesting that a parser with calls of its own gives up on, before and after a line of the usual kind."""
+    with pytest.raises(RecursionError):
+        json.loads(DEEP)
+    rows = spark.createDataFrame([(1, "s", 1, DEEP), (2, "s", 2, '{"a":[{"id":"x"}]}'), (3, "s", 2, DEEP[:-1])], "raw_id long, stream_key string, file_no int, body string")
+    got = {(r.raw_id, r.child_path): (r.parent_path, r.link_raw_id) for r in shred.linked_elements(rows).collect()}
+    top = "/0" * LEVELS
+    assert got == {(1, top): ("", -1), (1, top + "/a/0"): (top, -1), (1, top + "/a/1"): (top, 1), (2, "/a/0"): ("", -1)}
+    body = '{"a":[' * 1500 + "1" + "]}" * 1500
+    changes = drift.changes(spark.createDataFrame([("s", 1, body), ("s", 2, '{"b":1}')], "stream_key string, file_no int, body string"))
+    assert sorted(r["count"] for r in changes.groupBy("change_kind").count().collect()) == [1, 3000]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers(-(10**25), 10**25) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=2), x, max_size=3)), st.sampled_from([None, 1]), st.data())
+def test_both_readers_agree(value, indent, data):
+    body = json.dumps(value, indent=indent, ensure_ascii=data.draw(st.booleans()))
+    if data.draw(st.booleans()):
+        at = data.draw(st.integers(0, len(body)))
+        body = body[:at] + data.draw(st.sampled_from(["", "x", ",", "}", "]", '"', "NaN", ":", "\\u12"])) + body[at + data.draw(st.integers(0, 1)) :]
+    assert repr(shred.load(body)) == repr(shred._load_deep(body))
+    assert shred.dumps(value, sort_keys=True) == json.dumps(value, sort_keys=True, ensure_ascii=False)
