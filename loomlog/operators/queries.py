@@ -102,8 +102,9 @@ SQL = {
             SELECT 1 FROM source_changes c WHERE c.source_id = r.source_id AND c.run_state = 'committed' AND c.run_no >= r.changed_run
             AND {_START} <= r.byte_start AND c.committed_byte_end >= r.byte_start + r.byte_len)""",
     "p6_ledger": f"""
-        SELECT source_id, {_START} AS from_byte, committed_byte_end AS to_byte,
-            CASE WHEN count(*) FILTER (run_state = 'committed') > 0 THEN 'done' ELSE 'pending' END AS state,
-            max(run_no * 1000000 + attempt_no)::BIGINT AS fencing_token, count(DISTINCT run_no * 1000000 + attempt_no) AS attempts
-        FROM source_changes GROUP BY ALL""",
+        WITH a AS (SELECT source_id, {_START} AS from_byte, committed_byte_end AS to_byte, (run_no * 1000000 + attempt_no)::BIGINT AS token, max(run_no) FILTER (run_state = 'committed') AS revision,
+                bool_or(coalesce(run_state = 'committed', false)) AS ok, bool_and(run_state IS NULL) AS open, epoch_us(max(reported_at)) + {ledger.LEASE_SECONDS * 1_000_000}::BIGINT AS until FROM source_changes GROUP BY ALL),
+            i AS (SELECT source_id, from_byte, to_byte, bool_or(ok) AS ok, arg_max(open, token) AS open, arg_max(until, token) AS until, max(token) AS fencing_token, count(*) AS attempts, max(revision) AS revision FROM a GROUP BY ALL),
+            s AS (SELECT *, CASE WHEN ok THEN 'done' WHEN open AND until > (SELECT epoch_us(max(reported_at)) FROM source_changes) THEN 'leased' ELSE 'pending' END AS state FROM i)
+        SELECT source_id, from_byte, to_byte, state, fencing_token, attempts, revision, CASE WHEN state = 'leased' THEN until / 1e6 END AS expires_at FROM s""",
 }

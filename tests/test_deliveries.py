@@ -74,14 +74,74 @@ def test_empty_nulls_and_clashing_columns(session_rows, zones):
     assert sorted(r[0] for r in out.collect()) == [2, 3]
 
 
+KEYED = "record_id long, k1 long, k2 long, received_at timestamp, batch_no int"
+
+
+def ids(df):
+    return sorted(r[0] for r in df.collect())
+
+
 def test_index_opened_again(spark, tmp_path):
     """A second object on the folder knows what the first one took in, prefixes included."""
-    keyed = spark.createDataFrame([(i, 7 * k << 20, k, None, 1) for i, k in enumerate([1, 2, 3, 4] * 3)], "record_id long, k1 long, k2 long, received_at timestamp, batch_no int")
+    keyed = spark.createDataFrame([(i, 7 * k << 20, k, None, 1) for i, k in enumerate([1, 2, 3, 4] * 3)], KEYED)
     path = f"file://{tmp_path}/index"
     first = D.IdentifierIndex(spark, path, rows_expected=5 * D.BUCKET_ROWS)
     assert first.ingest(keyed.filter("record_id < 4")).count() == 0
-    (tmp_path / "index" / "2").mkdir()  # an ingestion that broke off
+    (tmp_path / "index" / "data-broken").mkdir()  # an ingestion that broke off
     again = D.IdentifierIndex(spark, path)
-    assert (again.generation, again.prefixes) == (1, 5)
-    assert sorted(r[0] for r in again.ingest(keyed.filter("record_id between 4 and 7")).collect()) == [4, 5, 6, 7]
-    assert sorted(r[0] for r in D.IdentifierIndex(spark, path, rows_expected=1).ingest(keyed.filter("record_id > 7")).collect()) == [8, 9, 10, 11]
+    assert again.prefixes == 5
+    assert ids(again.ingest(keyed.filter("record_id between 4 and 7"))) == [4, 5, 6, 7]
+    assert ids(D.IdentifierIndex(spark, path, rows_expected=1).ingest(keyed.filter("record_id > 7"))) == [8, 9, 10, 11]
+    again.versions.sweep()
+    assert not (tmp_path / "index" / "data-broken").exists() and ids(again.ingest(keyed.filter("record_id < 8"))) == [4, 5, 6, 7]
+
+
+def test_runs_are_merged_and_prefixes_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "BUCKET_ROWS", 10)
+    rnd, rows = random.Random(2), []
+    for i in range(240):
+        k = rnd.randrange(100)
+        rows.append((i, (k * 0x9E3779B97F4A7C15 & (2**64 - 1)) - 2**63, k, T0 + dt.timedelta(seconds=rnd.randrange(99)), i // 30))
+    keyed, path, lost = spark.createDataFrame(rows, KEYED).cache(), f"file://{tmp_path}/index", []
+    for b in range(8):
+        index = D.IdentifierIndex(spark, path)
+        lost += ids(index.ingest(keyed.filter(f"batch_no = {b}")))
+        assert len(index.versions.newest()[1]["data"]) <= D.MERGE_RUNS
+    best = {}
+    for i, _, k, at, _ in rows:
+        best.setdefault(k, []).append((at, i))
+    assert sorted(lost) == sorted(i for v in best.values() for _, i in sorted(v)[1:])
+    assert index.prefixes >= 8
+    keyed.unpersist()
+
+
+def test_a_small_batch_writes_little(spark, tmp_path):
+    keyed = spark.range(200_000).selectExpr("id as record_id", "xxhash64(id) as k1", "id as k2", "cast(null as timestamp) as received_at", "1 as batch_no")
+    path = f"file://{tmp_path}/index"
+    size = lambda d: sum(f.stat().st_size for f in (tmp_path / "index" / d).iterdir())
+    index = D.IdentifierIndex(spark, path)
+    index.ingest(keyed)
+    index.ingest(keyed.filter("record_id < 2000").selectExpr("record_id + 1000000 as record_id", "xxhash64(record_id, 1) as k1", "k2", "received_at", "batch_no"))
+    whole, small = index.versions.newest()[1]["data"]
+    assert size(small) < size(whole) / 30
+
+
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    """The one that is overtaken looks its rows up again in what the other has brought."""
+    keyed = spark.createDataFrame([(i, k << 20, k, None, 1) for i, k in enumerate([1, 2, 1, 2])], KEYED)
+    path = f"file://{tmp_path}/index"
+    a, b = D.IdentifierIndex(spark, path), D.IdentifierIndex(spark, path)
+    add, overtaken = a.versions.add, []
+
+    def late(number, state):
+        if not overtaken:
+            overtaken.append(ids(b.ingest(keyed.filter("record_id >= 2"))))
+        return add(number, state)
+
+    monkeypatch.setattr(a.versions, "add", late)
+    assert ids(a.ingest(keyed.filter("record_id < 2"))) == [2, 3] and overtaken == [[]]
+
+
+def test_ingestions_make_no_difference(spark):
+    cs, so = spark.read.parquet(f"{TESTDATA}/claude_session.parquet"), spark.read.parquet(f"{TESTDATA}/sources.parquet")
+    assert ids(D.surplus_copies(cs, so, 1)) == ids(D.surplus_copies(cs, so, 7))

@@ -1,5 +1,6 @@
 """Problem 6, and the durable ledger."""
 
+import datetime as dt
 import random
 
 from loomlog.operators import ledger as L
@@ -45,16 +46,69 @@ def test_leases_fencing_and_retries(spark):
     assert led.lease(now=30, seconds=10).count() == 1
 
 
+KEYS = "source_id string, from_byte long, to_byte long"
+
+
 def test_ledger_opened_again(spark, tmp_path):
-    path, keys = f"file://{tmp_path}/ledger", "source_id string, from_byte long, to_byte long"
+    path = f"file://{tmp_path}/ledger"
     led = L.WorkLedger(spark, path)
-    led.offer(spark.createDataFrame([("s", 0, 10), ("s", 10, 20)], keys))
-    held = led.lease(now=0, seconds=10).collect()
-    done = spark.createDataFrame([(*held[0][:3], 1)], keys + ", token long")
+    led.offer(spark.createDataFrame([("s", 0, 10), ("s", 10, 20)], KEYS))
+    held = led.lease(now=0, seconds=10).orderBy("from_byte").collect()
+    done = spark.createDataFrame([(*held[0][:3], 1)], KEYS + ", token long")
     assert led.commit(done, now=1).count() == 0
-    (tmp_path / "ledger" / str(led.version + 1)).mkdir()  # a save that broke off
+    (tmp_path / "ledger" / "data-broken").mkdir()  # a change that broke off
     again = L.WorkLedger(spark, path)
     assert again.version == led.version and sorted(r["state"] for r in again.table().collect()) == ["done", "leased"]
     assert again.commit(done, now=2).count() == 1
     assert [r["token"] for r in again.lease(now=11, seconds=10).collect()] == [2]
-    assert again.commit(spark.createDataFrame([(*held[1][:3], 1)], keys + ", token long"), now=12).count() == 1
+    assert again.commit(spark.createDataFrame([(*held[1][:3], 1)], KEYS + ", token long"), now=12).count() == 1
+    again.versions.sweep()
+    assert not (tmp_path / "ledger" / "data-broken").exists() and again.table().count() == 2
+
+
+def test_two_writers_at_once(spark, tmp_path, monkeypatch):
+    """Both lease at one time: every item goes to one of them, under one token."""
+    path = f"file://{tmp_path}/ledger"
+    a, b = L.WorkLedger(spark, path), L.WorkLedger(spark, path)
+    a.offer(spark.createDataFrame([("s", i, i + 1) for i in range(4)], KEYS))
+    add, other = a.versions.add, []
+
+    def late(number, state):
+        if not other:
+            other.extend(b.lease(now=0, seconds=10, most=3).collect())
+        return add(number, state)
+
+    monkeypatch.setattr(a.versions, "add", late)
+    mine = a.lease(now=0, seconds=10).collect()
+    assert len(other) == 3 and len(mine) == 1 and {r["from_byte"] for r in other}.isdisjoint({r["from_byte"] for r in mine})
+    # a commit under a lease that expires while another takes the item over
+    monkeypatch.setattr(a.versions, "add", add)
+    assert b.lease(now=20, seconds=10).count() == 4
+    stale = spark.createDataFrame([(*r[:3], r["token"]) for r in other], KEYS + ", token long")
+    assert a.commit(stale, now=21).count() == 3 and a.table().filter("state = 'done'").count() == 0
+
+
+def test_changed_items_and_merged_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "MERGE_CHANGES", 3)
+    led, token = L.WorkLedger(spark, f"file://{tmp_path}/l"), KEYS + ", token long"
+    for revision in range(3):
+        led.offer(spark.createDataFrame([("s", 0, 10, revision)], KEYS + ", revision int"))
+        got = led.lease(now=revision, seconds=10).collect()
+        assert [(r["token"], r["revision"]) for r in got] == [(revision + 1, revision)]
+        assert led.commit(spark.createDataFrame([("s", 0, 10, revision + 1)], token), now=revision).count() == 0
+        led.offer(spark.createDataFrame([("s", 0, 10, revision)], KEYS + ", revision int"))
+        assert led.lease(now=revision, seconds=10).count() == 0
+    assert len(led.versions.newest()[1]["data"]) <= 4 and led.table().count() == 1
+
+
+def test_open_attempts_hold_their_lease(spark):
+    at = lambda h: dt.datetime(2026, 1, 1, h, tzinfo=dt.timezone.utc)
+    row = lambda i, start, state, hour, attempt=1: (i, 1, attempt, "s", "source_appended", start, start + 5, 0, 1, state, at(hour))
+    changes = spark.createDataFrame([row(1, 0, None, 1), row(2, 5, None, 9), row(3, 10, None, 9), row(4, 10, "failed", 9, 2), row(5, 15, "committed", 1), row(6, 15, None, 9, 2)], CHANGES)
+    got = {r["from_byte"]: r["state"] for r in L.ledger(changes).collect()}
+    assert got == {0: "pending", 5: "leased", 10: "pending", 15: "done"}
+    led = L.WorkLedger(spark)
+    led.enter(changes)
+    led.enter(changes)
+    assert {r["from_byte"]: r["state"] for r in led.table().collect()} == got
+    assert led.lease(now=at(10).timestamp(), seconds=10).count() == 2

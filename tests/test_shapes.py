@@ -34,7 +34,7 @@ def test_columns_are_pruned_and_filters_pushed(spark):
     p = plan(spark, "timeline_kinds")
     assert "item_text" not in re.search(r"ReadSchema: struct<([^>]*)>", p)[1]
     p = plan(spark, "p6_found")
-    assert re.search(r"PushedFilters: \[[^]]*EqualTo\(run_state,committed\)", p) and re.search(r"PushedFilters: \[[^]]*EqualTo\(ends_line,true\)", p)
+    assert re.search(r"PushedFilters: \[[^]]*EqualTo\(state,done\)", p) and re.search(r"PushedFilters: \[[^]]*EqualTo\(ends_line,true\)", p)
 
 
 def test_pages_are_top_k(spark):
