@@ -127,10 +127,11 @@ def _renames(raw_records: DataFrame, found: DataFrame, files: DataFrame) -> Data
     wanted = broadcast_if_small(settle(wanted, "wanted"))
     lines = raw_records.select("stream_key", F.col("file_no").cast("int").alias("file_no"), "body").join(wanted, ["stream_key", "file_no"])
     values = lines.select("stream_key", F.transform("wanted", lambda x: F.to_json(x)).alias("wanted"), "body").mapInArrow(_values, _VALUES_DDL).distinct()
-    values = values.withColumn("parent", _parent("path"))
-    a = values.filter("old").select(*key, "value", F.col("path").alias("field_path"))
-    b = values.filter("not old").select(*key, "value", F.col("path").alias("new_path"))
-    return a.join(b, [*key, "value"]).select("stream_key", "file_no", "field_path", "new_path").distinct()
+    # Both sides of a value meet in one aggregation: a value is under few candidate paths of one parent.
+    side = lambda old: F.collect_set(F.when(F.col("old") == old, F.col("path")))
+    met = values.groupBy("stream_key", "file_no", _parent("path").alias("parent"), "value").agg(side(True).alias("olds"), side(False).alias("news"))
+    pairs = met.filter("size(olds) > 0 and size(news) > 0").select("stream_key", "file_no", F.explode("olds").alias("field_path"), "news").distinct()
+    return pairs.select("stream_key", "file_no", "field_path", F.explode("news").alias("new_path")).distinct()
 
 
 _VALUES_DDL = "stream_key string, file_no int, path string, old boolean, value binary"
