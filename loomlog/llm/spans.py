@@ -1,16 +1,19 @@
-"""Problem 10: long exact spans shared between records, over a sparse de Bruijn graph.
+"""Problem 10: long exact spans shared between records, over a compacted de Bruijn graph.
 
 Tokens are code points. Of all k-mers only those are nodes whose smallest inner s-mer lies at either end
-(closed syncmers): whether a k-mer is one depends on itself alone, and every run of ``K - S`` k-mers holds
-one. So two texts with a common span have the same nodes at the same distances inside it. Consecutive nodes
-of a text are edges. Nodes and edges seen in one document only are joined away; what is left of a document
-are paths, and a path with its surroundings up to the next unshared node bounds every shared span there.
-
-Inside these bounds every window of ``SPAN`` characters is hashed. A pair of documents is listed where their
-common span begins: at a window that both have, with different characters (or none) before it. Windows whose
-occurrences all have the same character before them begin nothing and are dropped before documents meet, so
-a passage that a third of all documents share costs its output and no more. Source coordinates of each pair
-are then checked on the texts themselves.
+(closed syncmers): whether a k-mer is one depends on itself alone, and every run of ``k - s`` k-mers holds
+one. So two texts with a common span have the same nodes at the same distances inside it, and a span of
+``length`` holds two that follow each other. Edges are consecutive nodes of a text with their distance.
+
+One aggregation gives for every node how many documents have it and whether more than one edge enters or
+leaves it. Nodes of one document are joined away. Between nodes that fork, the path of a text branches nowhere:
+every text that has one step of it has all. So only windows of ``length`` characters around forking nodes are
+hashed, and they tell exactly where spans begin and end: at windows with different characters before or after
+them, or next to such. A span is a compacted path of the full graph of ``length``-mers that branches nowhere,
+in source coordinates. Its class is named by the digest of its text, taken from the texts themselves, so what
+is listed as equal is equal.
+
+A passage that m documents share costs m rows. Pairs of documents are a view on the classes.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from ..runtime import discard, settle
 
 SPAN = 250
-K, S = 100, 16
+#: Longest s-mers.
+S = 16
 #: Characters hashed together in a task.
 PIECE = 1 << 19
 
@@ -71,7 +75,15 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def syncmers(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+def sizes(length: int) -> tuple[int, int]:
+    """(k, s) for spans of ``length``: the longest k-mers of which every such span is sure to hold two consecutive nodes."""
+    if length < 1:
+        raise ValueError("a span has at least one character")
+    s = min(S, max(1, length // 4))
+    return (length + s) // 2, s
+
+
+def syncmers(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the k-mers whose smallest s-mer is their first or last."""
     if len(codes) < k:
         return np.zeros(0, "i8"), np.zeros(0, "u8")
@@ -114,72 +126,92 @@ def _pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[np.ndarray,
         yield np.concatenate(held), where
 
 
-_NODES_DDL = "doc_id long, at long, node long, next_node long, next_at long, last_at long"
-_NODES = pa.schema([(n, pa.int64()) for n in ("doc_id", "at", "node", "next_node", "next_at", "last_at")])
-
-
-def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for codes, where in _pieces(texts, K - 1):
-            pos, node = syncmers(codes)
-            starts = np.array([w[1] for w in where])
-            own = np.searchsorted(starts, pos, "right") - 1
-            ends = np.array([w[1] + w[2] for w in where])
-            keep = pos + K <= ends[own]
-            pos, node, own = pos[keep], node[keep], own[keep]
-            cuts = np.searchsorted(own, np.arange(len(where) + 1))
-            for j, (i, start, _, offset) in enumerate(where):
-                a, b = cuts[j], cuts[j + 1]
-                if b > a:
-                    held.setdefault(i, []).append((pos[a:b] - start + offset, node[a:b]))
-        if not held:
-            continue
-        doc, at, node, nxt, nat, last = [], [], [], [], [], []
-        for i, parts in held.items():
-            p, h = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]).view("i8")
-            doc.append(np.full(len(p), ids[i]))
-            at.append(p)
-            node.append(h)
-            nxt.append(np.append(h[1:], 0))
-            nat.append(np.append(p[1:], -1))
-            last.append(np.append(-1, p[:-1]))
-        cols = [np.concatenate(c).astype("i8") for c in (doc, at, node, nxt, nat, last)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_NODES)
-
-
-def graph(documents: DataFrame) -> DataFrame:
-    """The occurrences of nodes that more than one document has: (doc_id, at, node, next_node, next_at, last_at, edge).
-
-    ``edge`` says that the step to the next node of the text (its hash and distance) is shared as well.
-    """
-    every = settle(documents.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_nodes, _NODES_DDL), "nodes")
-    shared = every.groupBy("node").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("node")
-    nodes = settle(every.join(shared, "node", "left_semi"), "shared-nodes")
-    discard(every)
-    step = nodes.withColumn("step", F.when(F.col("next_at") >= 0, F.xxhash64("node", "next_node", F.col("next_at") - F.col("at"))))
-    steps = step.filter("step is not null").groupBy("step").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("step", F.lit(True).alias("edge"))
-    # Texts' last nodes have no step; they stay out of the join instead of meeting on one null key.
-    return step.filter("step is not null").join(steps, "step", "left").fillna(False, ["edge"]).drop("step").unionByName(step.filter("step is null").drop("step").withColumn("edge", F.lit(False)))
+_NODES_DDL = "doc_id long, part long, at long, node long, came long, goes long, last_at long, next_at long"
+_NODES = pa.schema([(n.split()[0], pa.int64()) for n in _NODES_DDL.split(", ")])
+_ENDS = _U(0xD6E8FEB86659FD93)
 
 
-def paths(documents: DataFrame) -> DataFrame:
-    """(doc_id, low, high): the bounds of every path of shared nodes and edges; ``high`` -1 is the end of the text.
+def _step(node: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    return _mix(node ^ _mix(distance.astype("u8") * _ENDS + _U(1)))
 
-    The paths are the compacted graph in source coordinates: within a text, shared nodes that follow each
-    other over shared edges are one.
-    """
-    w = Window.partitionBy("doc_id").orderBy("at")
-    g = graph(documents)
-    linked = F.coalesce(F.lag("edge").over(w) & (F.lag("next_at").over(w) == F.col("at")), F.lit(False))
-    g = g.withColumn("path", F.sum((~linked).cast("int")).over(w))
-    out = g.groupBy("doc_id", "path").agg((F.min_by("last_at", "at") + 1).alias("low"), F.max_by("next_at", "at").alias("after"))
-    return out.select("doc_id", "low", F.when(F.col("after") >= 0, F.col("after") + K - 1).otherwise(-1).alias("high"))
+
+def _nodes(length: int):
+    k, s = sizes(length)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts, texts = (batch.column(i) for i in range(3))
+            ids, parts = ids.to_numpy(), parts.to_numpy()
+            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for codes, where in _pieces(texts.to_pylist(), k - 1):
+                pos, node = syncmers(codes, k, s)
+                starts = np.array([w[1] for w in where])
+                own = np.searchsorted(starts, pos, "right") - 1
+                ends = np.array([w[1] + w[2] for w in where])
+                keep = pos + k <= ends[own]
+                pos, node, own = pos[keep], node[keep], own[keep]
+                cuts = np.searchsorted(own, np.arange(len(where) + 1))
+                for j, (i, start, _, offset) in enumerate(where):
+                    a, b = cuts[j], cuts[j + 1]
+                    if b > a:
+                        held.setdefault(i, []).append((pos[a:b] - start + offset, node[a:b]))
+            if not held:
+                continue
+            cols: list[list[np.ndarray]] = [[] for _ in _NODES]
+            for i, found in held.items():
+                p, h = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                # Where a text begins or ends it goes another way than all other documents.
+                end = _mix(np.full(1, ids[i]).view("u8") ^ _ENDS)
+                far = _step(h[1:], p[1:] - p[:-1]), _step(h[:-1], p[1:] - p[:-1])
+                for c, x in zip(cols, (np.full(len(p), ids[i]), np.full(len(p), parts[i]), p, h.view("i8"), np.append(end, far[1]).view("i8"), np.append(far[0], end).view("i8"), np.append(-1, p[:-1]), np.append(p[1:], -1)), strict=True):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in cols], schema=_NODES)
+
+    return run
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, part, text): a document may be several rows, told apart by the mark of their text; repeated rows are one."""
+    texts = documents.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("part"), "text")
+    if documents.groupBy("doc_id").count().filter("doc_id is not null and count > 1").limit(1).count():
+        return settle(texts.dropDuplicates(["doc_id", "part"]), "texts")
+    return texts
 
 
-_WINDOWS_DDL = "doc_id long, at long, span long, before long"
-_WINDOWS = pa.schema([(n, pa.int64()) for n in ("doc_id", "at", "span", "before")])
+def graph(texts: DataFrame, length: int = SPAN) -> DataFrame:
+    """The occurrences of nodes that more than one document has: (doc_id, part, at, node, came, goes, last_at, next_at, forks_in, forks_out)."""
+    every = settle(texts.mapInArrow(_nodes(length), _NODES_DDL), "nodes")
+    differ = lambda c: F.min(c) < F.max(c)
+    shared = every.groupBy("node").agg(differ("doc_id").alias("shared"), differ("came").alias("forks_in"), differ("goes").alias("forks_out")).filter("shared").drop("shared")
+    nodes = settle(every.join(shared, "node"), "shared-nodes")
+    discard(every)
+    return nodes
+
+
+def places(texts: DataFrame, length: int = SPAN) -> DataFrame:
+    """(doc_id, part, ranges): the first places of the windows that tell where spans begin and end in a text.
+
+    At a node that forks in, spans begin between the node before it and itself; at one that forks out, they end
+    between its end and that of the node after it. No window reaches over a node that others don't have.
+    """
+    k = sizes(length)[0]
+    g = graph(texts, length)
+    w = Window.partitionBy("doc_id", "part").orderBy("at")
+    before, after = F.lag("at").over(w) == F.col("last_at"), F.lead("at").over(w) == F.col("next_at")
+    g = g.select("*", F.coalesce(before, F.lit(False)).alias("linked"), F.coalesce(after, F.lit(False)).alias("links"))
+    # What bounds the path of shared nodes that a node lies on; -1 is the end of the text.
+    g = g.withColumn("low", F.last(F.when(~F.col("linked"), F.col("last_at") + 1), True).over(w))
+    back = Window.partitionBy("doc_id", "part").orderBy(F.desc("at"))
+    high = F.when(F.col("next_at") >= 0, F.col("next_at") + (k - 1)).otherwise(F.lit(2**40))
+    g = g.withColumn("high", F.last(F.when(~F.col("links"), high), True).over(back)).filter("forks_in or forks_out")
+    first = F.struct((F.when(F.col("linked"), F.col("last_at")).otherwise(F.col("low"))).alias("a"), F.least(F.col("at"), F.col("high") - length).alias("b"))
+    last = F.struct(F.greatest(F.col("low"), F.col("at") + (k - length)).alias("a"), F.when(F.col("links"), F.col("next_at") + (k - length)).otherwise(F.col("high") - length).alias("b"))
+    ranges = F.array_compact(F.array(F.when(F.col("forks_in"), first), F.when(F.col("forks_out"), last)))
+    return g.select("doc_id", "part", F.explode(ranges).alias("r")).filter("r.a <= r.b").groupBy("doc_id", "part").agg(F.collect_list("r").alias("ranges"))
+
+
+_WINDOWS_DDL = "doc_id long, part long, at long, span long, before long, after long"
+_WINDOWS = pa.schema([(n.split()[0], pa.int64()) for n in _WINDOWS_DDL.split(", ")])
 
 
 def _windows(length: int):
@@ -187,12 +219,13 @@ def _windows(length: int):
         held: list[list[np.ndarray]] = []
         n = 0
         for batch in batches:
-            for i, text, spans in zip(*batch.columns, strict=True):  # one text at a time
-                codes, i = code_points(text.as_py()), i.as_py()
-                for x in spans.as_py():
-                    low, high = x["low"], len(codes) if x["high"] < 0 else min(x["high"], len(codes))
-                    for a in range(low, high - length + 1, PIECE):
-                        held.append(_of_piece(codes, i, a, min(high, a + PIECE + length - 1), length))
+            for doc, part, text, ranges in zip(*batch.columns, strict=True):  # one text at a time
+                codes, doc, part, at = code_points(text.as_py()), doc.as_py(), part.as_py(), 0
+                for r in sorted((x["a"], x["b"]) for x in ranges.as_py()):
+                    low, high = max(at, r[0]), min(r[1], len(codes) - length) + 1
+                    at = max(at, high)
+                    for a in range(low, high, PIECE):
+                        held.append(_of_piece(codes, doc, part, a, min(high, a + PIECE), length))
                         n += len(held[-1][0])
                         if n >= PIECE:
                             yield _joined(held)
@@ -203,62 +236,93 @@ def _windows(length: int):
     return run
 
 
-def _of_piece(codes: np.ndarray, doc: int, a: int, b: int, length: int) -> list[np.ndarray]:
-    """The windows that begin from ``a`` on and end by ``b``: document, place, hash, and the character before."""
-    h = Hasher(codes[a:b]).of(length).view("i8")
-    before = np.empty(len(h), "i8")
-    before[1:] = codes[a : a + len(h) - 1]
-    # At the start of a text there is none; a mark of the document keeps such starts apart.
-    before[0] = codes[a - 1] if a else -1 - (doc & 0x7FFFFFFFFFFFFFF)
-    return [np.full(len(h), doc), np.arange(a, a + len(h)), h, before]
+def _of_piece(codes: np.ndarray, doc: int, part: int, a: int, b: int, length: int) -> list[np.ndarray]:
+    """The windows that begin at ``a`` up to ``b``: document, text, place, hash, and the characters before and after."""
+    h = Hasher(codes[a : b + length - 1]).of(length).view("i8")
+    none = -1 - (doc & 0x7FFFFFFFFFFFFFF)  # where a text begins or ends; a mark of the document keeps such places apart
+    before, after = np.full(b - a, none, "i8"), np.full(b - a, none, "i8")
+    skip = 0 if a else 1
+    before[skip:] = codes[a - 1 + skip : b - 1]
+    ahead = codes[a + length : b + length]
+    after[: len(ahead)] = ahead
+    return [np.full(b - a, doc), np.full(b - a, part), np.arange(a, b), h, before, after]
 
 
 def _joined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in zip(*held, strict=True)], schema=_WINDOWS)
 
 
-def windows(documents: DataFrame, length: int = SPAN) -> DataFrame:
-    """Every window of ``length`` characters that may be shared: (doc_id, at, span, before)."""
-    bounds = paths(documents).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("bounds"))
-    texts = documents.filter("text is not null").select("doc_id", "text").join(bounds, "doc_id").select("doc_id", "text", "bounds")
-    return texts.mapInArrow(_windows(length), _WINDOWS_DDL)
+def _bounds(texts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, part, low, high): where spans begin and end in each text, by hashes."""
+    asked = texts.join(places(texts, length), ["doc_id", "part"]).select("doc_id", "part", "text", "ranges")
+    every = settle(asked.mapInArrow(_windows(length), _WINDOWS_DDL), "windows")
+    differ = lambda c: F.min(c) < F.max(c)
+    shared = every.groupBy("span").agg(differ("doc_id").alias("shared"), differ("before").alias("left"), differ("after").alias("right")).filter("shared").drop("shared")
+    seen = every.select("doc_id", "part", "at", "span").join(shared, "span").select("doc_id", "part", "at", "left", "right")
+    w = Window.partitionBy("doc_id", "part").orderBy("at")
+    next_to = lambda f, c, d: F.coalesce(f(c).over(w) & (f("at").over(w) == F.col("at") + d), F.lit(False))
+    seen = seen.select("doc_id", "part", "at", (F.col("left") | next_to(F.lag, "right", -1)).alias("begins"), (F.col("right") | next_to(F.lead, "left", 1)).alias("ends")).filter("begins or ends")
+    end = F.last(F.when(F.col("ends"), F.col("at")), True).over(Window.partitionBy("doc_id", "part").orderBy(F.desc("at")))
+    out = settle(seen.withColumn("end", end).filter("begins").select("doc_id", "part", F.col("at").alias("low"), (F.col("end") + length).alias("high")), "pieces")
+    discard(every)
+    return out
+
+
+def shared_spans(documents: DataFrame, length: int = SPAN) -> DataFrame:
+    """(doc_id, part, start_at, n_chars, class_id, documents): every span of at least ``length`` characters that more than one document has.
+
+    ``start_at`` counts from 1. Spans of one class have the same text, whose digest is ``class_id``, and lie in
+    ``documents`` documents (the links of each member are one less). A span ends where its occurrences part, so
+    those of one text may overlap by ``length - 1`` characters, and two texts that share more share several.
+    Characters are code points, compared exactly. Null and shorter texts have none, nor has a passage that only
+    one document has, however often; rows with the same doc_id are one document (``part`` tells their texts).
+    """
+    texts = _texts(documents)
+    pieces = _bounds(texts, length)
+    held = pieces.groupBy("doc_id", "part").agg(F.collect_list(F.struct("low", "high")).alias("pieces"))
+    # Source coordinates verify: the digest is of the text itself.
+    cut = lambda x: F.substring(F.col("text"), (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int"))
+    named = texts.join(held, ["doc_id", "part"]).select("doc_id", "part", F.explode(F.transform("pieces", lambda x: F.struct((x["low"] + 1).alias("start_at"), (x["high"] - x["low"]).alias("n_chars"), F.md5(cut(x)).alias("class_id")))).alias("x")).select("doc_id", "part", "x.*")
+    named = settle(named, "named")
+    classes = named.select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("*").alias("documents")).filter("documents > 1")
+    return named.join(classes, "class_id").select("doc_id", "part", "start_at", "n_chars", "class_id", "documents")
 
 
-def shared_pairs(documents: DataFrame, length: int = SPAN) -> DataFrame:
+#: Members of a class that meet all others of it in one task.
+BLOCK_MEMBERS = 1000
+
+
+def shared_pairs(documents: DataFrame, length: int = SPAN, spans: DataFrame | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b), smaller first: all pairs with at least ``length`` consecutive characters in common.
 
-    Characters are code points, compared exactly. Null and shorter texts give no pair, nor does a passage that
-    only one document has, however often; rows with the same doc_id are one document.
+    A view on ``shared_spans``. Two documents are listed at the first span of each stretch that they share, that
+    is where the spans just before differ; classes whose members all come from one span list nothing. A class
+    of many members is met in blocks.
     """
-    if length < K + (K - S):
-        raise ValueError(f"spans of under {2 * K - S} characters may hold no node")
-    every = settle(windows(documents, length), "windows")
-    begins = every.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("before").alias("c"), F.max("before").alias("d")).filter("a < b and c < d").select("span")
-    # Of a document that repeats itself one place for each character before it is enough.
-    seen = settle(every.join(begins, "span", "left_semi").groupBy("span", "doc_id", "before").agg(F.min("at").alias("at")), "begins")
-    discard(every)
-    left = seen.select("span", F.col("doc_id").alias("doc_id_a"), F.col("at").alias("at_a"), F.col("before").alias("before_a"))
-    right = seen.select("span", F.col("doc_id").alias("doc_id_b"), F.col("at").alias("at_b"), F.col("before").alias("before_b"))
-    met = left.join(right, "span").filter("doc_id_a < doc_id_b and before_a <> before_b")
-    met = settle(met.select("doc_id_a", "at_a", "doc_id_b", "at_b"), "met")
-    # Source coordinates verify: the texts themselves have to agree there.
-    texts = documents.filter("text is not null").select("doc_id", "text")
-    cut = lambda at: F.substring(F.col("text"), (F.col(at) + 1).cast("int"), F.lit(length))
-    a = met.join(texts.withColumnRenamed("doc_id", "doc_id_a"), "doc_id_a").select("doc_id_a", "doc_id_b", "at_b", cut("at_a").alias("words"))
-    both = a.join(texts.withColumnRenamed("doc_id", "doc_id_b"), "doc_id_b").filter(F.col("words") == cut("at_b"))
-    return both.select("doc_id_a", "doc_id_b").distinct()
+    spans = settle(shared_spans(documents, length), "spans") if spans is None else spans
+    w = Window.partitionBy("doc_id", "part").orderBy("start_at")
+    joins = F.lag(F.col("start_at") + F.col("n_chars")).over(w) == F.col("start_at") + (length - 1)
+    members = spans.select("class_id", "doc_id", "documents", F.when(joins, F.lag("class_id").over(w)).otherwise(F.concat(F.lit("doc "), F.col("doc_id"))).alias("before")).distinct()
+    members = settle(members, "members")
+    blocks = F.ceil(F.col("documents") / BLOCK_MEMBERS).cast("int")
+    begins = members.groupBy("class_id").agg((F.min("before") < F.max("before")).alias("begins")).filter("begins").select("class_id")
+    members = members.join(begins, "class_id", "left_semi")
+    left = members.select("class_id", F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"), F.col("doc_id").alias("doc_id_a"), F.col("before").alias("before_a"))
+    right = members.select("class_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc_id").alias("doc_id_b"), F.col("before").alias("before_b"))
+    met = left.join(right, ["class_id", "block"]).filter("doc_id_a < doc_id_b and before_a <> before_b")
+    return met.select("doc_id_a", "doc_id_b").distinct()
 
 
 def shared_share(documents: DataFrame, length: int = SPAN) -> DataFrame:
     """(doc_id, n_chars, shared_chars, share): how much of each document lies in spans that another one has too.
 
-    One row per doc_id, also for null and empty texts (0 of 0 characters).
+    One row per doc_id, also for null and empty texts (0 of 0 characters); the texts of a doc_id listed with
+    several are added up, each once.
     """
-    seen = settle(windows(documents, length), "windows")
-    shared = seen.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("span")
-    at = seen.join(shared, "span", "left_semi").select("doc_id", "at").distinct()
-    following = F.lead("at").over(Window.partitionBy("doc_id").orderBy("at"))
-    covered = at.withColumn("own", F.coalesce(F.least(following - F.col("at"), F.lit(length)), F.lit(length))).groupBy("doc_id").agg(F.sum("own").alias("shared_chars"))
-    sizes = documents.groupBy("doc_id").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).alias("n_chars"))
-    out = sizes.join(covered, "doc_id", "left").fillna(0, ["shared_chars"])
+    w = Window.partitionBy("doc_id", "part").orderBy("start_at")
+    end = F.col("start_at") + F.col("n_chars")
+    own = end - F.greatest(F.col("start_at"), F.coalesce(F.lag(end).over(w), F.lit(0)))
+    covered = shared_spans(documents, length).withColumn("own", own).groupBy("doc_id").agg(F.sum("own").alias("shared_chars"))
+    texts = documents.select("doc_id", F.xxhash64("text").alias("part"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n")).distinct()
+    out = texts.groupBy("doc_id").agg(F.sum("n").alias("n_chars")).join(covered, "doc_id", "left").fillna(0, ["shared_chars"])
     return out.withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))

@@ -1,5 +1,6 @@
 """Problems 8 and 10 against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -28,9 +29,59 @@ def pairs(rows, n=250):
     return {(a, b) for v in seen.values() for a in v for b in v if a < b}
 
 
+def classes(rows, n=250):
+    """The unbranched paths of windows that several documents have, walked window by window."""
+    at = {}
+    for i, t in rows:
+        for j in range(len(t or "") - n + 1):
+            at.setdefault(t[j : j + n], []).append((i, j, t))
+    shared = {w: v for w, v in at.items() if len({i for i, _, _ in v}) > 1}
+    side = lambda v, f: len({f(i, j, t) for i, j, t in v}) > 1
+    left = {w for w, v in shared.items() if side(v, lambda i, j, t: t[j - 1] if j else i)}
+    right = {w for w, v in shared.items() if side(v, lambda i, j, t: t[j + n] if j + n < len(t) else i)}
+    out = set()
+    for i, t in rows:
+        t, low = t or "", None
+        for j in range(len(t) - n + 1):
+            w, after = t[j : j + n], t[j + 1 : j + n + 1]
+            if w in shared:
+                low = j if low is None else low
+                if w in right or after in left or after not in shared or len(after) < n:
+                    out.add((i, low + 1, j + n - low, hashlib.md5(t[low : j + n].encode()).hexdigest()))
+                    low = None
+    links = {}
+    for i, *_, c in out:
+        links.setdefault(c, set()).add(i)
+    return {(*x, len(links[x[3]])) for x in out}
+
+
+def listed(df):
+    return {(r.doc_id, r.start_at, r.n_chars, r.class_id, r.documents) for r in df.collect()}
+
+
 def test_spans_of_the_table(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert {tuple(r) for r in spans.shared_pairs(documents).collect()} == pairs(rows)
+    got = spans.shared_spans(documents)
+    assert listed(got) == classes(rows) and got.count() == len(classes(rows)) > 10
+
+
+@pytest.mark.parametrize("length", [250, 183, 60, 7, 1])
+def test_spans_of_any_length(spark, length):
+    """Passages cut, joined and repeated in many ways, so that paths fork inside of spans."""
+    rnd = random.Random(length)
+    word = lambda n: "".join(rnd.choice("abcdefgh \n.あ𠮷") for _ in range(n))
+    base, rows = [word(int(length * x) + 1) for x in (0.6, 1, 1.4, 3)], []
+    for i in range(25):
+        t = ""
+        for _ in range(rnd.randrange(1, 4)):
+            p = rnd.choice(base)
+            a, b = sorted((rnd.randrange(len(p) + 1), rnd.choice([rnd.randrange(len(p) + 1), len(p)])))
+            t += rnd.choice(["", word(rnd.randrange(1, length + 2))]) + rnd.choice([p, p[a:b]])
+        rows.append((i, t))
+    got = spans.shared_spans(docs(spark, rows), length)
+    assert listed(got) == classes(rows, length)
+    assert {tuple(r) for r in spans.shared_pairs(docs(spark, rows), length, got).collect()} == pairs(rows, length)
 
 
 def test_spans_by_hand(spark):
@@ -39,34 +90,47 @@ def test_spans_by_hand(spark):
     p, q, short = word(250), word(700), word(249)
     rows = [
         (1, word(90) + p + word(300)), (2, p), (3, word(1) + p), (4, word(40) + short + word(40)), (5, word(3) + short + word(200)), (6, q), (7, q), (8, word(500) + q[200:600] + "x" + p), (9, None), (10, ""), (11, "z"),
-        (12, " " * 400), (13, "x" + " " * 300), (14, "a" * 1000), (15, p + word(5) + p), (15, p), (16, q + q),
+        (12, " " * 400), (13, "x" + " " * 300), (14, "a" * 1000), (15, p + word(5) + p), (15, p), (15, p), (16, q + q), (17, word(251)), (17, word(251)),
     ]
     got = [tuple(r) for r in spans.shared_pairs(docs(spark, rows)).collect()]
     assert set(got) == pairs(rows) and len(got) == len(set(got))
     share = {r.doc_id: r.shared_chars for r in spans.shared_share(docs(spark, rows)).collect()}
-    assert share[2] == 250 and share[6] == 700 and share[9] == share[10] == share[4] == 0 and len(share) == 16
+    assert share[2] == 250 and share[6] == 700 and share[9] == share[10] == share[4] == share[17] == 0 and share[15] == 750 and share[16] == 1400 and len(share) == 17
+
+
+def test_a_passage_of_many_costs_rows_like_documents(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK_MEMBERS", 7)
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefgh \n.") for _ in range(n))
+    p = word(5000)
+    rows = [(i, word(100) + p + word(100)) for i in range(60)]
+    texts = spans._texts(docs(spark, rows))
+    n = sum(x["b"] - x["a"] + 1 for r in spans.places(texts).collect() for x in r.ranges)
+    assert n < 60 * 600 and len(classes(rows)) == spans.shared_spans(docs(spark, rows)).count() == 60
+    assert spans.shared_pairs(docs(spark, rows)).count() == 60 * 59 // 2
 
 
 def test_very_long_text(spark, monkeypatch):
     monkeypatch.setattr(spans, "PIECE", 1000)
-    rnd = random.Random(1)
+    rnd, (k, s) = random.Random(1), spans.sizes(250)
     t = "".join(rnd.choice("abcde ") for _ in range(20_000))
     codes = spans.code_points(t)
-    whole = spans.syncmers(codes)[0].tolist()
-    parts = sorted({int(x) + off for c, where in spans._pieces([t], spans.K - 1) for _, start, size, off in where for x in spans.syncmers(c[start : start + size])[0]})
+    whole = spans.syncmers(codes, k, s)[0].tolist()
+    parts = sorted({int(x) + off for c, where in spans._pieces([t], k - 1) for _, start, size, off in where for x in spans.syncmers(c[start : start + size], k, s)[0]})
     assert parts == whole
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.text(alphabet="abc ", min_size=260, max_size=600), st.integers(0, 50))
-def test_every_run_has_a_node(t, cut):
-    """What the method rests on: k-mers are chosen by themselves alone, and no run of K - S of them is without one."""
-    at, h = spans.syncmers(spans.code_points(t))
-    inner, hi = spans.syncmers(spans.code_points(t[cut:]))
+@given(st.text(alphabet="abc ", min_size=260, max_size=600), st.integers(0, 50), st.sampled_from([250, 100, 9]))
+def test_every_run_has_a_node(t, cut, length):
+    """What the method rests on: k-mers are chosen by themselves alone, and no run of k - s of them is without one."""
+    k, s = spans.sizes(length)
+    at, h = spans.syncmers(spans.code_points(t), k, s)
+    inner, hi = spans.syncmers(spans.code_points(t[cut:]), k, s)
     keep = at >= cut
     assert (at[keep] - cut).tolist() == inner.tolist() and h[keep].tolist() == hi.tolist()
-    places = np.concatenate([[-1], at, [len(t) - spans.K + 1]])
-    assert (np.diff(places) <= spans.K - spans.S).all()
+    places = np.concatenate([[-1], at, [len(t) - k + 1]])
+    assert (np.diff(places) <= max(1, k - s)).all() and 2 * k - s <= length
 
 
 def test_texts_that_repeat_themselves(spark):
@@ -78,7 +142,7 @@ def test_spans_empty_and_clashing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, at long, node long, span long")
     assert spans.shared_pairs(none).count() == 0 and spans.shared_share(none).count() == 0
     with pytest.raises(ValueError):
-        spans.shared_pairs(none, 100)
+        spans.shared_pairs(none, 0)
 
 
 def leaks(rows, items, run=12):
