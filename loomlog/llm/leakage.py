@@ -2,13 +2,15 @@
 
 The patterns are all runs of ``RUN`` words of the items. As in the method, a table of blocks (here ``BLOCK``
 words) says how far the search may jump when a block ends no pattern, a second table finds the patterns that
-end with a block, and those are compared directly. The tables of one block of patterns are sent to all tasks
-behind a check of their number; more patterns are searched in further passes, each over all documents.
+end with a block, and those are compared directly. The items of one pass are broadcast, up to a number of
+words, and each worker process builds their tables once; more items are searched in further passes, each over
+all documents.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -76,38 +78,50 @@ def leaks(documents: DataFrame, eval_items: DataFrame, run: int = RUN) -> DataFr
     Words are maximal runs of ASCII letters and digits, compared without case. Null and empty texts and items
     with fewer words give no rows; a document listed twice is reported once.
     """
-    parts = _passes(eval_items)
-    out = None
-    for part in parts:
-        found = documents.select("doc_id", "text").mapInArrow(_task(part, run), "doc_id long, item_id long")
+    context, out = documents.sparkSession.sparkContext, None
+    for part in _passes(eval_items):
+        sent = context.broadcast(part)
+        found = documents.select("doc_id", "text").mapInArrow(_task(sent, uuid.uuid4().hex, run), "doc_id long, item_id long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = documents.select("doc_id", F.lit(None).cast("long").alias("item_id")).filter(F.lit(False))
     return out.distinct()
 
 
-def _passes(eval_items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``PASS_WORDS`` words (one long item may be a block of its own)."""
-    out, n = [], PASS_WORDS
+def _passes(eval_items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most ``PASS_WORDS`` words (one long item may be a block of its own); the driver holds one at a time."""
+    block, n = [], 0
     for ident, text in eval_items.filter("text is not null").select("item_id", "text").toLocalIterator():
         k = len(_WORD.findall(text))
-        if n + k > PASS_WORDS:
-            out.append([])
-            n = 0
-        out[-1].append((ident, text))
+        if block and n + k > PASS_WORDS:
+            yield block
+            block, n = [], 0
+        block.append((ident, text))
         n += k
-    return out
+    if block:
+        yield block
 
 
-def _task(items: list[tuple[int, str]], run: int):
+#: The tables that this worker process built last, under the name of their pass.
+_built: dict[str, WuManber] = {}
+
+
+def _tables(sent, name: str, run: int) -> WuManber:
+    if name not in _built:
+        _built.clear()
+        _built[name] = WuManber(sent.value, run)
+    return _built[name]
+
+
+def _task(sent, name: str, run: int):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = WuManber(items, run)
+        tables = _tables(sent, name, run)
         for batch in batches:
             docs, found = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    for item in tables.search(text):
-                        docs.append(doc)
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
+                if s := text.as_py():
+                    for item in tables.search(s):
+                        docs.append(doc.as_py())
                         found.append(item)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
 

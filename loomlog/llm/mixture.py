@@ -1,14 +1,16 @@
 """Problem 9: mixing sources to target weights, by subset-sum budget fitting.
 
 Documents are counted by exact token length. A source's budget is its share of the whole; whole passes over
-the source are taken first, the rest is fitted on the counts by length: an even share of every length, then
-bounded-knapsack dynamic programming for what remains. Seeded documents are then chosen by length and count.
+the source are taken first, the rest is fitted on the counts by length: an even share of every length, and
+bounded-knapsack dynamic programming over what may differ from it. Seeded documents are then chosen by length
+and count.
 Only counts by length reach the fitting task, one source each; documents never leave their partitions but
 for the choice within one length, which is split by a hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from ..runtime import settle
 
 #: Public tokenizer and its file (a parameter; never part of this repository).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Tokens that the dynamic programming fits exactly; what is above is taken evenly before.
+#: Tokens that the dynamic programming begins with; it goes on with more until nothing can be better.
 FIT_TOKENS = 1 << 15
 #: Hash buckets that split the documents of one source and length.
 BUCKETS = 256
@@ -71,56 +73,77 @@ def _encoder(path: str):
 def fit(counts: dict[int, int], budget: int, most: int = FIT_TOKENS) -> dict[int, int]:
     """How many documents of each token length to take so that the total comes as close to ``budget`` as can be from below.
 
-    ``counts``: documents by length. First the same fraction of every length, rounded down, leaving about
-    ``most`` tokens to fit; then, longest first while far above, single documents; then bounded knapsack by
-    bit sets, each length split into powers of two.
+    ``counts``: documents by length. First the same fraction of every length, rounded down, so that about
+    ``most`` tokens are left, or single documents of the longest while it is far more; then bounded knapsack by
+    bit sets over what is left. Where that misses the budget, the more of the even share is given back the
+    longer it does, up to what can still matter: any two choices of about one total can be led into each other
+    by adding and taking off single documents without a sum coming twice, so the best is at most twice the
+    longest and what was left away from the first, counted in documents.
     """
     counts = {n: c for n, c in counts.items() if n > 0 and c > 0}
-    total = sum(n * c for n, c in counts.items())
-    if budget >= total:
+    unit = math.gcd(*counts)
+    if budget >= sum(n * c for n, c in counts.items()):
         return counts
-    budget = max(0, budget)
+    if unit > 1:  # nothing but multiples can be reached
+        return {n * unit: k for n, k in fit({n // unit: c for n, c in counts.items()}, budget // unit, most).items()}
+    total, budget = sum(n * c for n, c in counts.items()), max(0, budget)
     even = max(0, budget - most // 2)
-    take = {n: c * even // total for n, c in counts.items()}
-    left = budget - sum(n * k for n, k in take.items())
+    first = {n: c * even // total for n, c in counts.items()}
+    left = budget - sum(n * k for n, k in first.items())
     for n in sorted(counts, reverse=True):
         if left <= most:
             break
-        k = min(counts[n] - take[n], (left - most) // n + 1, left // n)
-        take[n] += k
+        k = min(counts[n] - first[n], (left - most) // n + 1, left // n)
+        first[n] += k
         left -= n * k
+    back, enough = 0, left + 2 * max(counts) + 1
+    while True:
+        kept = {n: max(0, k - back) for n, k in first.items()}
+        take, missed = _fill(counts, kept, budget)
+        if not missed or back >= enough or not any(kept.values()):
+            return {n: k for n, k in take.items() if k}
+        back = max(1, back * 4)
+
+
+def _fill(counts: dict[int, int], kept: dict[int, int], budget: int) -> tuple[dict[int, int], int]:
+    """The best that can be added to ``kept`` within ``budget``, and by how much it misses it."""
+    take, left = dict(kept), budget - sum(n * k for n, k in kept.items())
     mask = (1 << (left + 1)) - 1
     reach, steps = 1, []
     for n in sorted(counts, reverse=True):
         if reach >> left & 1:
             break
         spare, power = min(counts[n] - take[n], left // n), 1
-        while spare > 0:
+        while spare > 0:  # any number of a length is a sum of powers of two
             k = min(power, spare)
             steps.append((n, k, reach))
             reach |= (reach << n * k) & mask
             spare -= k
             power *= 2
     best = reach.bit_length() - 1
+    missed = left - best
     for n, k, before in reversed(steps):
         if not before >> best & 1:
             best -= n * k
             take[n] += k
-    return {n: k for n, k in take.items() if k}
+    return take, missed
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, total: int | None = None, path: str = TOKENIZER) -> DataFrame:
+def mix(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, total: int | None = None, path: str = TOKENIZER, keep_shares: bool = False) -> DataFrame:
     """(doc_id, source, n_tokens, copies): which documents to use, and how often (1 to ``max_repeats``).
 
     ``total`` is the size of the mix in tokens; by default all tokens of the sources that have a target.
-    A source gives its share of it, or all it has ``max_repeats`` times where that is less. Sources without a
+    A source gives its share of it, or all it has ``max_repeats`` times where that is less; then the mix is
+    smaller and the other sources have more than their share of it, as the report says. With ``keep_shares``
+    the mix is instead made so small that every source which has documents can give its share, and the shares
+    of those that have none are the others' in proportion. Sources without a
     target, documents without tokens and absent sources give no rows. Which documents of a length are chosen
     depends on ``seed`` and ``doc_id`` alone; a doc_id listed twice is two documents.
     """
-    return _mix(documents, mix_targets, seed, total, path)[0]
+    return _mix(documents, mix_targets, seed, total, path, keep_shares)[0]
 
 
-def _mix(documents: DataFrame, mix_targets: DataFrame, seed: int, total: int | None, path: str) -> tuple[DataFrame, DataFrame]:
+def _mix(documents: DataFrame, mix_targets: DataFrame, seed: int, total: int | None, path: str, keep_shares: bool = False) -> tuple[DataFrame, DataFrame]:
     lengths = settle(token_lengths(documents, path), "lengths")
     targets = (
         mix_targets.select(F.lower(bare("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
@@ -131,12 +154,18 @@ def _mix(documents: DataFrame, mix_targets: DataFrame, seed: int, total: int | N
     counts = settle(counts, "counts")
     if total is None:
         total = counts.agg(F.sum(F.col("n_tokens") * F.col("n"))).first()[0] or 0
+    scale = 1.0
+    if keep_shares:
+        per = counts.groupBy("source").agg((F.sum(F.col("n_tokens") * F.col("n")) * F.greatest(F.max("max_repeats"), F.lit(0))).alias("most"), F.max("target_share").alias("share")).filter("share > 0")
+        scale, limit = per.agg(F.sum("share"), F.min(F.col("most") / F.col("share"))).first()
+        scale = scale or 1.0
+        total = min(total, math.floor((limit or 0) * scale))
 
     def plan(key: tuple, t: pa.Table) -> pa.Table:
         by = dict(zip(t.column("n_tokens").to_pylist(), t.column("n").to_pylist(), strict=True))
         share, repeats = t.column("target_share")[0].as_py(), max(0, t.column("max_repeats")[0].as_py())
         tokens = sum(n * c for n, c in by.items())
-        budget = min(round(share * total), tokens * repeats)
+        budget = min(round(share / scale * total), tokens * repeats)
         passes = budget // tokens
         extra = fit(by, budget - passes * tokens) if passes < repeats else {}
         rows = [(key[0], n, passes, extra.get(n, 0)) for n in by]
@@ -172,6 +201,6 @@ def _choose(lengths: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
     return whole.select(columns).unionByName(part.select(columns)).filter("copies > 0")
 
 
-def shares(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, total: int | None = None, path: str = TOKENIZER) -> DataFrame:
+def shares(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, total: int | None = None, path: str = TOKENIZER, keep_shares: bool = False) -> DataFrame:
     """(source, target_share, max_repeats, total, tokens, actual_share, documents, most_copies) of ``mix``; one row per target."""
-    return _mix(documents, mix_targets, seed, total, path)[1]
+    return _mix(documents, mix_targets, seed, total, path, keep_shares)[1]

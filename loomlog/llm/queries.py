@@ -42,6 +42,10 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p9_shares_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), keep_shares=True)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_pairs(table(spark, folder, "documents"))
 
@@ -54,7 +58,7 @@ def p10_share(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_spans, p10_share)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p8_found, p8_items, p9_mix, p9_shares, p9_shares_kept, p10_found, p10_spans, p10_share)}
 _WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))"
 _LEAKS = f"""g AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM g)),
     h AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), e AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM h)),

@@ -29,14 +29,30 @@ def test_fit_is_best(counts, budget):
     assert sum(n * k for n, k in take.items()) == best_below(counts, budget)
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.dictionaries(st.integers(1, 60), st.integers(1, 5000), min_size=2, max_size=20), st.floats(0, 1.2))
-def test_fit_of_many(counts, share):
-    total = sum(n * c for n, c in counts.items())
-    budget = int(total * share)
-    take = mixture.fit(counts, budget, most=500)
-    got = sum(n * k for n, k in take.items())
-    assert got <= budget and all(k <= counts[n] for n, k in take.items()) and budget - got < max(counts) + 1 or budget > total
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1, max_size=6), st.floats(0, 1), st.sampled_from([0, 1, 30, 500]), st.sampled_from([1, 7, 1000]))
+def test_fit_is_best_wherever_it_begins(counts, share, most, unit):
+    """The size that the dynamic programming begins with changes no total."""
+    counts = {n * unit: c for n, c in counts.items()}
+    budget = int(sum(n * c for n, c in counts.items()) * share)
+    take = mixture.fit(counts, budget, most)
+    assert all(0 < k <= counts[n] for n, k in take.items())
+    assert sum(n * k for n, k in take.items()) == best_below({n // unit: c for n, c in counts.items()}, budget // unit) * unit
+
+
+@pytest.mark.parametrize("counts, budget, best", [({50_000: 1, 26_000: 2}, 52_000, 52_000), ({50_000: 1, 26_000: 2}, 51_999, 50_000), ({70_001: 10**6, 70_003: 10**6}, 70_001 * 999 + 70_003 * 7, 70_001 * 999 + 70_003 * 7), ({10**6: 3, 999_983: 2}, 2_999_999, 2_999_983)])
+def test_long_documents(counts, budget, best):
+    assert sum(n * k for n, k in mixture.fit(counts, budget).items()) == best
+
+
+def test_shares_can_be_kept(spark):
+    docs = spark.createDataFrame([(i, "same text here", s) for s, n in [("a", 400), ("b", 30), ("c", 5)] for i in range(n)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 2), ("gone", 0.25, 3)], "source string, target_share double, max_repeats int")
+    got = {r.source: (r.tokens, r.most_copies) for r in mixture.shares(docs, targets, keep_shares=True).collect()}
+    assert got == {"a": (360, 1), "b": (180, 2), "gone": (0, 0)}
+    got = {r.source: r.tokens for r in mixture.shares(docs, targets, total=90, keep_shares=True).collect()}
+    assert got == {"a": 60, "b": 30, "gone": 0}
+    assert mixture.shares(docs.limit(0), targets, keep_shares=True).count() == 3
 
 
 def test_table(spark):

@@ -103,7 +103,7 @@ def test_a_passage_of_many_costs_rows_like_documents(spark, monkeypatch):
     rnd = random.Random(3)
     word = lambda n: "".join(rnd.choice("abcdefgh \n.") for _ in range(n))
     p = word(5000)
-    rows = [(i, word(100) + p + word(100)) for i in range(60)]
+    rows = [(i, word(100) + chr(0x4E00 + i) + p + chr(0x4E00 + i) + word(100)) for i in range(60)]
     texts = spans._texts(docs(spark, rows))
     n = sum(x["b"] - x["a"] + 1 for r in spans.places(texts).collect() for x in r.ranges)
     assert n < 60 * 600 and len(classes(rows)) == spans.shared_spans(docs(spark, rows)).count() == 60
