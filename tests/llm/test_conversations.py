@@ -68,3 +68,50 @@ def test_empty_nulls_and_clashing(session_rows, zones):
     assert C.conversations(session_rows([{}, {"record_id": 1}], "speaker string, own long, k1 long, event_time timestamp"), zones([])).count() == 0
     rows = [row(1, None, "user", 1), row(2, None, "assistant", 2, written_at="n/a"), row(3, None, "assistant", 3)]
     assert C.conversations(session_rows(rows), zones([])).count() == 0  # the unreadable time comes first, so the assistant opens
+
+
+def test_undated_messages_come_first_in_the_order_of_their_place(session_rows, zones, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 4)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    rows = [row(1, "s", "assistant", 50), row(2, "s", "user", 40)]
+    rows += [row(i, "s", "user", 0, written_at=None, line_no=n, source_id=log, received_at=at(h)) for i, log, n, h in [(3, "b", 2, 1), (4, "b", 1, 30), (5, "a", 9, 90), (6, "a", 3, 2), (7, "a", 2, 400), (8, "a", 2, 1)]]
+    rows += [row(9, "t", "user", 1, parent_uuid="u10"), row(10, "t", "assistant", 3000), row(11, "u", "user", 1, parent_uuid="u10"), row(12, "u", "assistant", 3000)]
+    got = [tuple(r) for r in C.conversations(session_rows(rows), zones([])).orderBy("session_id", "turn_no").select("session_id", "turn_no", "record_id").collect()]
+    assert got == [("s", i + 1, r) for i, r in enumerate([7, 8, 6, 5, 4, 3, 2, 1])] + [("t", 1, 9), ("t", 2, 10)]
+
+
+def test_live_stream(spark, session_rows, zones, tmp_path):
+    """Batches out of order: conversations come out before the end, late messages are buffered, too late ones counted, and a restart goes on."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    n = 0
+    (tmp_path / "in").mkdir()
+
+    def arrive(*rows):
+        nonlocal n
+        n += 1
+        session_rows(list(rows)).coalesce(1).write.parquet(f"{tmp_path}/part{n}")
+        next((tmp_path / f"part{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+
+    stream = spark.readStream.schema(session_rows([]).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    start = lambda: C.Live(stream, zones([]), f"file://{tmp_path}/out", delay="30 minutes", idle="1 hour")
+    out = lambda x: sorted(tuple(r) for r in x.conversations().select("session_id", "turn_no", "record_id").collect())
+    m = lambda i, s, who, minute, **k: row(i, s, who, 0, written_at=f"2026-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z", **k)
+    arrive(m(2, "a", "assistant", 10, parent_uuid="u1"), m(5, "b", "user", 1))
+    live = start()
+    live.process()
+    assert out(live) == []
+    arrive(m(1, "a", "user", 5), m(2, "a", "assistant", 10, source_id="moved", line_no=9), m(9, "hot", "user", 12))  # late, and again
+    live.process()
+    assert out(live) == []
+    arrive(m(20, "clock", "user", 200), m(21, "clock", "assistant", 250))  # time goes on: a and b are closed, b without an answer
+    live.process()
+    assert out(live) == [("a", 1, 1), ("a", 2, 2)]
+    assert {(r.session_id, r.reason) for r in live.verdicts().filter("not kept").collect()} == {("b", "unanswered"), ("hot", "unanswered")}
+    arrive(m(6, "b", "assistant", 3))  # too late
+    again = start()
+    again.process()
+    assert again.late == 1
+    arrive(m(30, "a", "user", 400), m(31, "a", "assistant", 401), m(40, "end", "user", 900))
+    arrive(m(41, "end", "assistant", 1200))
+    again.process()
+    assert out(again) == [("a", 1, 1), ("a", 1, 30), ("a", 2, 2), ("a", 2, 31), ("clock", 1, 20), ("clock", 2, 21)]
