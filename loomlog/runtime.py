@@ -53,6 +53,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def make_path(spark: SparkSession, path: str) -> None:
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+
+
 def publish(spark: SparkSession, path: str, content: str) -> bool:
     """Write a small file, whole or not at all; False where there is one already. Of several writers one succeeds.
 
