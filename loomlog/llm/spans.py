@@ -179,12 +179,16 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def graph(texts: DataFrame, length: int = SPAN) -> DataFrame:
-    """The occurrences of nodes that more than one document has: (doc_id, part, at, node, came, goes, last_at, next_at, forks_in, forks_out)."""
+    """The occurrences of nodes that more than one document has: (doc_id, part, at, node, last_at, next_at, forks_in, forks_out)."""
     every = settle(texts.mapInArrow(_nodes(length), _NODES_DDL), "nodes")
     differ = lambda c: F.min(c) < F.max(c)
-    shared = every.groupBy("node").agg(differ("doc_id").alias("shared"), differ("came").alias("forks_in"), differ("goes").alias("forks_out")).filter("shared").drop("shared")
-    nodes = settle(every.join(shared, "node"), "shared-nodes")
+    # Most nodes are of one document; they are dropped before the edges of the others are compared.
+    shared = every.groupBy("node").agg(differ("doc_id").alias("shared")).filter("shared").select("node")
+    common = settle(every.join(shared, "node", "left_semi"), "common-nodes")
     discard(every)
+    forks = common.groupBy("node").agg(differ("came").alias("forks_in"), differ("goes").alias("forks_out"))
+    nodes = settle(common.drop("came", "goes").join(forks, "node"), "shared-nodes")
+    discard(common)
     return nodes
 
 
