@@ -146,10 +146,15 @@ def discard(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.settled_at)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after counting rows and bytes (of their JSON); larger sides are left to a shuffled join."""
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes (of their JSON); reads no further than it must."""
     n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= size else df
+    return n <= rows and held <= size
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting rows and bytes; larger sides are left to a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 _PLAIN = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
