@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.instants_sql import WRITTEN_WELL, timed
 from ..runtime import table
 from . import deliveries, drift, ledger, records, shred, timestamps
 
@@ -32,6 +33,11 @@ def p5_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return drift.consistent(table(spark, folder, "raw_records"))
 
 
+def p5_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent table's scalars, under the paths they were written at."""
+    return drift.consistent(table(spark, folder, "raw_records")).filter("coalesce(as_string, cast(as_number as string), cast(as_boolean as string)) is not null").select("raw_id", "stream_key", "file_no", "written_path", "as_string", "as_number", "as_boolean")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.pending_records(table(spark, folder, "source_changes"), table(spark, folder, "source_records"))
 
@@ -63,14 +69,38 @@ def json_flatten(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p5_found, p5_consistent, p6_found, p6_ledger, p7_found, record_fields, record_headers, record_events, json_flatten)
+    f.__name__: f for f in (p2_found, p3_found, p5_found, p5_consistent, p5_values, p6_found, p6_ledger, p7_found, record_fields, record_headers, record_events, json_flatten)
 }
 QUERIES |= {f"p2_{n}": _entity(n) for n in (*shred.ENTITIES, shred.OTHERS, shred.RECORDS)}
 
 # The bodies as trees; what DuckDB calls valid JSON is the same here.
 _TREE = """WITH RECURSIVE nodes AS (SELECT r.raw_id, r.stream_key, r.file_no, t.id, t.parent, t.key, t.type, t.atom FROM (SELECT * FROM raw_records WHERE json_valid(body)) r, json_tree(r.body) t),"""
 _START = "CASE WHEN disposition IN ('source_rewritten', 'source_rebuilt') THEN 0 ELSE previous_byte_end END"
+_W = "\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0B"
+
+
+def bare_sql(column: str) -> str:
+    """A text column without surrounding white space, '' for NULL."""
+    return f"coalesce(regexp_replace({column}, '^[{_W}]+|[{_W}]+$', '', 'g'), '')"
+
+
+#: CTEs that end with ``copies``: claude_session with its instants, ids and, per message, the place of each copy.
+COPIES_SQL = timed("SELECT *, written_at AS written FROM claude_session", "dated") + f""",
+    named AS (SELECT *, lower({bare_sql('uuid')}) AS own_id, coalesce(session_id, '') AS sess FROM dated),
+    copies AS (SELECT *, row_number() OVER (PARTITION BY sess, own_id, CASE WHEN own_id = '' THEN {{'t': coalesce(record_type, ''), 'i': coalesce(instant_us::VARCHAR, ''), 'x': {bare_sql('item_text')}, 'c': {bare_sql('item_content')}}} END
+        ORDER BY received_at NULLS LAST, record_id) AS copy_no FROM named)"""
 SQL = {
+    "p3_found": "WITH "
+    + timed("SELECT 'claude_session' AS table_name, record_id AS row_key, source_id, written_at AS written FROM claude_session UNION ALL SELECT 'hits', hit_id, source_id, hit_at FROM hits", "dated")
+    + f" SELECT table_name, row_key, instant_us FROM dated WHERE instant_us IS NOT NULL AND NOT regexp_matches(written, '{WRITTEN_WELL}')",
+    "p7_found": f"WITH {COPIES_SQL} SELECT record_id FROM copies WHERE copy_no > 1",
+    "p5_values": _TREE
+    + """
+    p AS (SELECT raw_id, stream_key, file_no, id, type, atom, '' AS path FROM nodes WHERE parent IS NULL
+        UNION ALL SELECT n.raw_id, n.stream_key, n.file_no, n.id, n.type, n.atom, CASE WHEN p.type = 'ARRAY' THEN p.path || '[]' WHEN p.path = '' THEN n.key ELSE p.path || '.' || n.key END
+        FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id)
+    SELECT raw_id, stream_key, file_no, path AS written_path, CASE WHEN type = 'VARCHAR' THEN atom->>'$' END AS as_string, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN atom::DOUBLE END AS as_number, CASE WHEN type = 'BOOLEAN' THEN atom = 'true' END AS as_boolean
+    FROM p WHERE path <> '' AND type NOT IN ('NULL', 'ARRAY', 'OBJECT')""",
     "p2_found": _TREE
     + """
     p AS (SELECT raw_id, stream_key, id, type, '' AS ptr, '' AS owner, false AS element FROM nodes WHERE parent IS NULL
