@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.queries import COPIES_SQL, bare_sql
 from ..runtime import table
 from . import conversations, leakage, mixture, pii, spans
 
@@ -65,6 +66,13 @@ _LEAKS = f"""g AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT
     leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (k))"""
 _SPANS = "w AS (SELECT DISTINCT doc_id, i, substring(text, i, 250) AS k FROM (SELECT doc_id, text, unnest(range(1, length(text) - 248)) AS i FROM documents WHERE length(text) >= 250))"
 SQL: dict[str, str] = {
+    "p4_found": f"""WITH {COPIES_SQL}, kept AS (SELECT *, lower({bare_sql("parent_uuid")}) AS parent_id, coalesce(source_id, '') AS src, coalesce(line_no, 0) AS line,
+            record_type IN ('user', 'assistant') AND NOT coalesce(is_sidechain, false) AND NOT coalesce(is_meta, false) AND NOT coalesce(is_compact_summary, false) AND coalesce(item_type, 'text') = 'text' AND {bare_sql("item_text")} <> '' AS spoken,
+            record_type = 'attachment' AND {bare_sql("attachment_prompt")} <> '' AS queued FROM copies WHERE copy_no = 1),
+        m AS (SELECT *, CASE WHEN spoken THEN record_type ELSE 'user' END AS speaker, row_number() OVER (PARTITION BY sess ORDER BY instant_us NULLS FIRST, src, line, record_id) AS turn_no, count(*) OVER (PARTITION BY sess) AS n FROM kept WHERE spoken OR queued),
+        bad AS (SELECT a.sess FROM kept a WHERE parent_id <> '' AND NOT EXISTS (SELECT 1 FROM kept b WHERE b.sess = a.sess AND b.own_id = a.parent_id)
+            UNION ALL SELECT sess FROM m WHERE spoken AND msg_role IS DISTINCT FROM record_type OR turn_no = 1 AND speaker <> 'user' OR turn_no = n AND speaker <> 'assistant')
+        SELECT sess AS session_id, turn_no, record_id FROM m WHERE sess NOT IN (SELECT sess FROM bad)""",
     "p8_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p8_items": f"WITH {_LEAKS} SELECT i.item_id, i.suite, count(l.doc_id) AS documents FROM eval_items i LEFT JOIN leaks l USING (item_id) GROUP BY ALL",
     "p10_found": f"WITH {_SPANS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.k = b.k AND a.doc_id < b.doc_id",
