@@ -46,23 +46,25 @@ def flatten(record: bytes | str) -> list[Field] | None:
     return out
 
 
+_WORDS = {None: ("null", "null"), True: ("true", "boolean"), False: ("false", "boolean")}
+
+
 def _walk(path: str, v: object, depth: int, add: Callable[[Field], None]) -> None:
     kind = type(v)
-    if kind is str:
-        add((path, v, "string"))
-    elif kind is _Number:
-        add((path, str(v), "number"))
-    elif kind is _Pairs:
-        if depth >= DEPTH:
-            raise ValueError("too deep")
-        for key, x in v:
-            _walk(f"{path}/{escape(key)}", x, depth + 1, add)
-    elif kind is list:
-        if depth >= DEPTH:
-            raise ValueError("too deep")
-        for i, x in enumerate(v):
-            _walk(f"{path}/{i}", x, depth + 1, add)
-    elif v is None:
-        add((path, "null", "null"))
-    else:
-        add((path, "true" if v else "false", "boolean"))
+    if kind is not _Pairs and kind is not list:
+        add((path, v, "string") if kind is str else (path, str(v), "number") if kind is _Number else (path, *_WORDS[v]))
+        return
+    if depth >= DEPTH:
+        raise ValueError("too deep")
+    path += "/"
+    for key, x in v if kind is _Pairs else enumerate(v):
+        at = path + (str(key) if kind is list else escape(key))
+        inner = type(x)
+        if inner is str:
+            add((at, x, "string"))
+        elif inner is _Pairs or inner is list:
+            _walk(at, x, depth + 1, add)
+        elif inner is _Number:
+            add((at, str(x), "number"))
+        else:
+            add((at, *_WORDS[x]))

@@ -144,48 +144,99 @@ class Record:
         return self.kind == "user" and self.sender in ("human", "unknown")
 
 
-_TYPE_PLACES = frozenset(TYPE_PATHS)
 _META_KEYS = frozenset(k for keys in META.values() for k in keys) | {"id"}
 
 
-def _places(fields: list[Field]) -> dict[str, str]:
-    """Per metadata key the value at the highest place; of equal places that with the smaller path."""
-    best: dict[str, tuple[int, str, str]] = {}
-    for path, value, _ in fields:
-        _, key, rank, _ = place_of(path)
-        if key in _META_KEYS and rank is not None and value:
-            here = (rank, path, value)
-            if key not in best or here < best[key]:
-                best[key] = here
-    return {key: value for key, (_, _, value) in best.items()}
+#: Shapes of records that are remembered.
+SHAPES = 20_000
+_TYPE_LENGTH = max(map(len, TYPE_PATHS))
+
+
+class Shape:
+    """What the paths of a record say by themselves; logs have few shapes of records."""
+
+    __slots__ = ("blocks", "kind", "meta", "types")
+
+    def __init__(self, paths: tuple[str, ...]) -> None:
+        low: dict[str, int] = {}
+        meta: dict[str, list[tuple[int, str, int]]] = {}
+        for i, path in enumerate(paths):
+            if len(path) <= _TYPE_LENGTH:
+                low.setdefault(path.lower(), i)
+            _, key, rank, _ = place_of(path)
+            if key in _META_KEYS and rank is not None:
+                meta.setdefault(key, []).append((rank, path, i))
+        #: places of the type, the first that says something holds
+        self.types = [low[p] for p in TYPE_PATHS if p in low]
+        #: per metadata key its places, the highest first, of equal ones that with the smaller path
+        self.meta = {key: [(place[:2], place[2]) for place in sorted(places)] for key, places in meta.items()}
+        #: numbers of the items of ``message.content``
+        self.blocks = sorted({int(b) for p in paths if p.startswith("/message/content/") and (b := p.split("/", 4)[3]).isdigit()})
+        leaves = {place_of(p)[1] for p in paths}
+        #: places of types, whether there is output, a patch, a command
+        self.kind = [i for i, p in enumerate(paths) if p.endswith("/type")], bool(leaves & {"stdout", "stderr", "output"}), any("patch" in p.lower() for p in paths), bool(leaves & {"command", "arguments"})
+
+
+_shapes: dict[tuple[str, ...], Shape] = {}
+
+
+def shape_of(fields: list[Field]) -> Shape:
+    paths = tuple([f[0] for f in fields])
+    shape = _shapes.get(paths)
+    if shape is None:
+        shape = Shape(paths)
+        if len(_shapes) < SHAPES:
+            _shapes[paths] = shape
+    return shape
+
+
+def _places(fields: list[Field], shape: Shape) -> dict[str, str]:
+    """Per metadata key the value at its highest place that has one; of a repeated path the smaller value."""
+    out = {}
+    for key, places in shape.meta.items():
+        best = None
+        for place, i in places:
+            value = fields[i][1]
+            if value and (best is None or (place == best[0] and value < best[1])):
+                best = place, value
+        if best:
+            out[key] = best[1]
+    return out
 
 
 def event_type(record: Record) -> str | None:
-    low: dict[str, str] = {}
-    for path, (value, _) in record.at.items():
-        if len(path) < 20 and (p := path.lower()) in _TYPE_PLACES:
-            low.setdefault(p, value)
-    return next((low[p] for p in TYPE_PATHS if p in low and low[p].lower() not in ("event_msg", "response_item")), None)
+    fields = record.fields or []
+    return next((v for i in shape_of(fields).types if (v := fields[i][1]).lower() not in ("event_msg", "response_item")), None)
+
+
+@lru_cache(4096)
+def _kind_by_name(t: str, r: str) -> tuple[str | None, str | None]:
+    """What type and role say before, and after, results inside of the record are looked for."""
+    has = lambda *words: any(w in t for w in words)
+    if t in COMPACTIONS:
+        return "unknown", None
+    if has("output", "result", "toolreturn", "call_end"):
+        return "output", None
+    if "patch" in t:
+        return "patch", None
+    if has("command", "function_call", "functioncall", "tool_call", "toolcall"):
+        return "command", None
+    if r == "user" or t == "user" or has("user_message", "usermessage"):
+        return None, "user"
+    if r == "assistant" or t == "assistant" or has("assistant_message", "assistantmessage", "agent_message", "agentmessage"):
+        return None, "assistant"
+    return None, None
 
 
 def kind(fields: list[Field], type_name: str | None, role: str | None) -> str:
     """The first rule that holds decides."""
-    t, r = (type_name or "").lower(), (role or "").lower()
-    leaves = {place_of(p)[1] for p, _, _ in fields}
-    has = lambda *words: any(w in t for w in words)
-    rules = [
-        (lambda: t in COMPACTIONS, "unknown"),
-        (lambda: has("output", "result", "toolreturn", "call_end"), "output"),
-        (lambda: "patch" in t, "patch"),
-        (lambda: has("command", "function_call", "functioncall", "tool_call", "toolcall"), "command"),
-        (lambda: "type" in leaves and any(v == "tool_result" and p.endswith("/type") for p, v, _ in fields), "output"),
-        (lambda: r == "user" or t == "user" or has("user_message", "usermessage"), "user"),
-        (lambda: r == "assistant" or t == "assistant" or has("assistant_message", "assistantmessage", "agent_message", "agentmessage"), "assistant"),
-        (lambda: bool(leaves & {"stdout", "stderr", "output"}), "output"),
-        (lambda: any("patch" in p.lower() for p, _, _ in fields), "patch"),
-        (lambda: bool(leaves & {"command", "arguments"}), "command"),
-    ]
-    return next((k for test, k in rules if test()), "unknown")
+    first, second = _kind_by_name((type_name or "").lower(), (role or "").lower())
+    if first:
+        return first
+    types, output, patch, command = shape_of(fields).kind
+    if any(fields[i][1] == "tool_result" for i in types):
+        return "output"
+    return second or ("output" if output else "patch" if patch else "command" if command else "unknown")
 
 
 def describe(fields: list[Field] | None) -> Record:
@@ -195,7 +246,7 @@ def describe(fields: list[Field] | None) -> Record:
         record.kind = "invalid"
         return record
     record.event_type = event_type(record)
-    places = _places(fields)
+    places = _places(fields, shape_of(fields))
     for name, keys in META.items():
         setattr(record, name, next((places[k] for k in keys if k in places), None))
     t = (record.event_type or "").lower()
@@ -390,10 +441,10 @@ def kept(path: str, kind: str, t: str) -> bool:
 def project(record: Record, output_chars: int = OUTPUT_CHARS, raw: bytes = b"") -> Record:
     """The record with its body: the person's texts and image count, or the kept fields, tool output cut short.
 
-    An unreadable record keeps its bytes as one field.
+    An unreadable record keeps its bytes as one field; one that is too long (``cut``) those that were read, marked.
     """
     if record.fields is None:
-        record.body = [("/raw", raw.decode("utf-8", "replace"))]
+        record.body = [("/raw", raw.decode("utf-8", "replace") + (TRUNCATED if record.cut else ""))]
         return record
     if record.sender == "human":
         record.body = _texts(record)

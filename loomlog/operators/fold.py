@@ -9,7 +9,7 @@ from itertools import accumulate
 import pyarrow as pa
 
 from ..functions.flatten import flatten
-from .classify import IMPORTED_TURN, Record, classify, describe, project, reply_text
+from .classify import IMPORTED_TURN, Record, classify, describe, project, reply_text, shape_of
 
 
 @dataclass
@@ -43,8 +43,11 @@ class LogFold:
         self.origin, self.fallback, self.output_chars = origin, fallback_session, output_chars
         self.state = state or LogState()
 
-    def take(self, raw: bytes, byte_start: int) -> Record:
-        record = classify(self.origin, describe(flatten(raw)))
+    def take(self, raw: bytes, byte_start: int, oversized: bool = False) -> Record:
+        """The record of one line; of an ``oversized`` one ``raw`` is the beginning, which is kept as it is, with a mark."""
+        record = describe(None if oversized else flatten(raw))
+        record.cut = oversized
+        record = classify(self.origin, record)
         record = self._answered(record) or project(record, self.output_chars, raw)
         state = self.state
         record.session = state.session = record.session or state.session or self.fallback
@@ -82,11 +85,12 @@ class LogFold:
         return record
 
     def _claude_answers(self, r: Record) -> list[tuple[str, list[str]]]:
-        if not self.state.questions and r.value("/type") != "assistant":
+        asks = r.value("/type") == "assistant"
+        if not self.state.questions and not (asks and any(f[1] == "AskUserQuestion" for f in r.fields or ())):
             return []
-        blocks = sorted({int(b) for p in r.at if p.startswith("/message/content/") and (b := p.split("/", 4)[3]).isdigit()})
+        blocks = shape_of(r.fields).blocks if r.fields else []
         item = lambda i, leaf: r.text(f"/message/content/{i}/{leaf}")
-        if r.value("/type") == "assistant":
+        if asks:
             for i in blocks:
                 if item(i, "type") == "tool_use" and (call := item(i, "id")):
                     self.state.questions.pop(call, None)

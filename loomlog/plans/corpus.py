@@ -12,6 +12,10 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import socket
+import threading
+import time
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 from pathlib import Path
@@ -26,14 +30,16 @@ from ..operators.classify import RULES_VERSION
 from ..operators.fold import HEADER, LogFold, LogState, row
 from ..operators.fold import batch as as_batch
 from ..runtime import arrow_schema, broadcast_if_small
-from ..sources.discovery import Source, collect, describe, normalize_input
-from ..sources.lines import Undecodable, read_range, records
+from ..sources.discovery import Source, app_of, collect, describe, normalize_input
+from ..sources.lines import Undecodable, read_range, read_ranges, records
 
 FORMAT_VERSION = 1
 #: Rows of a log that are given on at a time.
 BATCH = 2_000
 #: First and last records compared to tell an appended log from a rewritten one.
 WITNESSES = 8
+#: After so long without renewal a writer's lease is over.
+LEASE_SECONDS = 600
 # How a read of a log ended.
 DISPOSITIONS = ["complete", "source_appended", "source_rebuilt", "source_rewritten", "source_moved", "tail_incomplete", "source_undecodable"]
 
@@ -72,7 +78,7 @@ def _read(entry: Entry) -> Iterator[tuple]:
     seen: list[list] = json.loads(entry.witnesses) if entry.committed_byte_end else []
     try:
         for line, at, size, raw, over in records(entry.path, entry.committed_byte_end, first_line=entry.lines + 1):
-            record = fold.take(b"" if over else raw, at)
+            record = fold.take(raw, at, over)
             yield row(record, entry.source_id, line, at, size, fold.state.index - 1)
             witness = [at, size, record.timestamp]
             seen = [*seen, witness] if len(seen) < 2 * WITNESSES else [*seen[:WITNESSES], *seen[WITNESSES + 1 :], witness]
@@ -109,11 +115,51 @@ class Corpus:
         except FileNotFoundError:
             return {"version": 0, "format": FORMAT_VERSION, "rules": RULES_VERSION}
 
-    def _lock(self) -> None:
+    def _lock(self) -> threading.Event:
+        """Take the writer's lease, renewed until the event is set; that of a writer that died is taken over.
+
+        It has died if its process on this machine is gone, or the lease was not renewed for ``LEASE_SECONDS``.
+        """
+        lock, own = self.path / "LOCK", self.path / f"LOCK.{uuid.uuid4().hex}"
+        own.write_text(json.dumps({"host": socket.gethostname(), "pid": os.getpid()}))
         try:
-            os.close(os.open(self.path / "LOCK", os.O_CREAT | os.O_EXCL))
-        except FileExistsError as e:
-            raise RuntimeError(f"another writer holds {self.path / 'LOCK'}") from e
+            for _ in range(2):
+                try:
+                    os.link(own, lock)
+                    break
+                except FileExistsError:
+                    if not self._stale(lock):
+                        raise RuntimeError(f"another writer holds {lock}") from None
+                    lock.rename(own.with_suffix(".stale"))  # of several that see it stale one succeeds
+                    own.with_suffix(".stale").unlink()
+            else:
+                raise RuntimeError(f"another writer holds {lock}")
+        except FileNotFoundError:
+            raise RuntimeError(f"another writer holds {lock}") from None
+        finally:
+            own.unlink()
+        done = threading.Event()
+
+        def renew() -> None:
+            while not done.wait(LEASE_SECONDS / 4):
+                os.utime(lock)
+
+        threading.Thread(target=renew, daemon=True).start()
+        return done
+
+    @staticmethod
+    def _stale(lock: Path) -> bool:
+        try:
+            text, age = lock.read_text(), time.time() - lock.stat().st_mtime
+        except FileNotFoundError:
+            return False
+        owner = json.loads(text) if text else {}
+        if owner.get("host") == socket.gethostname():
+            try:
+                os.kill(owner["pid"], 0)
+            except ProcessLookupError:
+                return True
+        return age > LEASE_SECONDS
 
     def catalog(self) -> dict[str, Entry]:
         version = self._pointer()["version"]
@@ -150,26 +196,31 @@ class Corpus:
         return rows.withColumn("event_date", F.coalesce(day, F.lit("undated")))
 
     # --- sync ---------------------------------------------------------------------------------------------
-    def sync(self, inputs: list[str], rebuild: bool = False, output_chars: int = 300) -> dict:
-        """Bring the corpus up to date with the logs below ``inputs`` and those registered before; a report."""
-        self._lock()
+    def sync(self, inputs: list[str], rebuild: bool | list[str] = False, output_chars: int = 300) -> dict:
+        """Bring the corpus up to date with the logs below ``inputs`` and those registered before; a report.
+
+        ``rebuild`` reads all logs anew, or those whose source_id it lists.
+        """
+        done = self._lock()
         try:
             return self._sync(inputs, rebuild, output_chars)
         finally:
+            done.set()
             (self.path / "LOCK").unlink()
 
-    def _sync(self, inputs: list[str], rebuild: bool, output_chars: int) -> dict:
+    def _sync(self, inputs: list[str], rebuild: bool | list[str], output_chars: int) -> dict:
         pointer, old = self._pointer(), self.catalog()
         registered = list(dict.fromkeys([*self._registry("inputs"), *map(normalize_input, inputs)]))
         managed = [str(self.path / "imported")] if (self.path / "imported").exists() else []
         paths, found = collect([*registered, *managed])
-        rebuild = rebuild or pointer["format"] != FORMAT_VERSION or pointer["rules"] != RULES_VERSION
+        anew = set(rebuild) if isinstance(rebuild, list) else set()
+        rebuild = rebuild is True or pointer["format"] != FORMAT_VERSION or pointer["rules"] != RULES_VERSION
         moved = self._moved(old, paths)
         by_path = {e.path: e for e in old.values()} | {new: old[ident] for ident, new in moved.items()}
         number = max([0, *(n for e in old.values() for n in json.loads(e.reads)), *self._read_folders()]) + 1
         plan: list[tuple[Entry, bool]] = []
         for s in describe(paths, {p: e.source_id for p, e in by_path.items()}):
-            plan.append(self._decide(s, old.get(s.source_id), s.source_id in moved, rebuild, output_chars))
+            plan.append(self._decide(s, old.get(s.source_id), s.source_id in moved, rebuild or s.source_id in anew, output_chars))
         todo = [e for e, read in plan if read]
         done = self._ingest(todo, number) if todo else {}
         kept = {e.source_id: done.get(e.source_id, e) for e, _ in plan}
@@ -201,7 +252,7 @@ class Corpus:
         return now, True
 
     def _moved(self, old: dict[str, Entry], paths: list[str]) -> dict[str, str]:
-        """Logs that are gone and whose records lie in a new log of the same name: {source_id: new path}."""
+        """Logs that are gone and whose records lie in a new log of the same app and name: {source_id: new path}."""
         here, known = set(paths), {e.path for e in old.values()}
         new: dict[str, list[str]] = {}
         for p in paths:
@@ -210,7 +261,7 @@ class Corpus:
         out: dict[str, str] = {}
         for e in old.values():
             for p in new.get(os.path.basename(e.path).removesuffix(".zst"), []) if e.path not in here else []:
-                if p not in out.values() and _same_past(Entry(**{**asdict(e), "path": p})):
+                if p not in out.values() and app_of(p) == e.app and _same_past(Entry(**{**asdict(e), "path": p})):
                     out[e.source_id] = p
                     break
         return out
@@ -322,3 +373,19 @@ class Corpus:
     def original(self, source_id: str, byte_start: int, byte_len: int) -> bytes:
         """The bytes of a record as they lie in its log."""
         return read_range(self.catalog()[source_id].path, byte_start, byte_len)
+
+    def originals(self, events: DataFrame) -> DataFrame:
+        """(source_id, event_index, raw): the bytes of many records as they lie in their logs, NULL where they no longer do.
+
+        The records of a log are read in order of their place, parted by range, so that a log with a third of
+        them is several tasks'; each task opens a log once.
+        """
+        placed = events.select("source_id", "event_index", "path", "byte_start", "byte_len").repartitionByRange("path", "byte_start").sortWithinPartitions("path", "byte_start")
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                source, index, path, start, size = (c.to_pylist() for c in batch.columns)
+                raw = list(read_ranges(zip(path, start, size, strict=True)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["source_id", "event_index", "raw"])
+
+        return placed.mapInArrow(run, "source_id string, event_index long, raw binary")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
@@ -76,3 +77,37 @@ def read_range(path: str, start: int, length: int, most: int = 4 << 20) -> bytes
     if len(out) < length:
         raise ValueError("the range ends beyond the log")
     return bytes(out)
+
+
+def read_ranges(places: Iterable[tuple[str, int, int]]) -> Iterator[bytes | None]:
+    """The bytes at (path, start, length) for places in order; a log is opened once, None where it ends before or can't be read."""
+    for path, group in itertools.groupby(places, key=lambda x: x[0]):
+        group = list(group)
+        done = 0
+        try:
+            with opened(path) if path.endswith(".zst") else open(path, "rb") as f:
+                at = 0
+                for _, start, length in group:
+                    if not path.endswith(".zst"):
+                        f.seek(start)
+                        at = start
+                    while at < start and (part := _read(f, min(CHUNK, start - at))):
+                        at += len(part)
+                    out = bytearray()
+                    while at == start + len(out) and len(out) < length and (part := _read(f, length - len(out))):
+                        out += part
+                        at += len(part)
+                    done += 1
+                    yield bytes(out) if len(out) == length else None
+        except OSError:
+            yield from [None] * (len(group) - done)
+
+
+def aligned(path: str, byte: int) -> int:
+    """The first place from ``byte`` on at which a line of a plain log begins; 0 if none does within ``CHUNK``."""
+    if byte <= 0:
+        return 0
+    with open(path, "rb") as f:
+        f.seek(byte - 1)
+        end = f.read(CHUNK).find(b"\n")
+    return byte + end if end >= 0 else 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import time
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -14,7 +16,7 @@ from ..operators.classify import Record, classify, describe, project, reply_text
 from ..runtime import arrow_schema
 from ..sources.discovery import app_of, origin_of
 from ..sources.jsonl import register
-from ..sources.lines import records
+from ..sources.lines import aligned, records
 
 POLL_SECONDS = 0.5
 #: Records before the cursor that are looked at for copies of the first new message.
@@ -40,7 +42,9 @@ def classified(lines: DataFrame) -> DataFrame:
             rows = []
             for source_id, path, line, at, size, raw, over in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 origin = origins.setdefault(path, origin_of(source_id.split("-", 1)[0], path))
-                r = project(classify(origin, describe(None if over else flatten(raw))), raw=raw)
+                r = describe(None if over else flatten(raw))
+                r.cut = over
+                r = project(classify(origin, r), raw=raw)
                 rows.append((source_id, path, line, at, size, r.kind, r.sender, r.via, r.timestamp, _text(r), r.images))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
@@ -71,16 +75,13 @@ def follow(path: str, after_byte: int | None = None, sender: str = "assistant",
     if limit < 1 or seconds < 0:
         raise ValueError("limit must be at least 1 and seconds not negative")
     origin = origin_of(app_of(path), path)
-    whole = [(at, size, raw) for _, at, size, raw, _ in records(path)]
-    end = whole[-1][0] + whole[-1][1] if whole else 0
-    cursor = end if after_byte is None else max([0, *(at for at, _, _ in whole if at <= after_byte), *([end] if after_byte >= end else [])])
-    before = [x for x in whole if x[0] < cursor and cursor - x[0] <= LOOK_BACK_BYTES][-LOOK_BACK:]
-    seen = {key for _, _, raw in before if (key := _key(_message(origin, raw)))}
+    cursor, before = _before(path, after_byte)
+    seen = {key for raw in before if (key := _key(_message(origin, raw)))}
     stop = time.monotonic() + seconds
     while True:
         out: list[dict] = []
         for line, at, size, raw, over in records(path, cursor):
-            r = _message(origin, b"" if over else raw)
+            r = _message(origin, raw, over)
             key = _key(r)
             wanted = key and key not in seen and (sender == "any" or r.sender == sender) and key[1].startswith(prefix)
             if wanted and len(out) == limit:
@@ -95,8 +96,27 @@ def follow(path: str, after_byte: int | None = None, sender: str = "assistant",
         time.sleep(min(poll, max(0.0, stop - time.monotonic())))
 
 
-def _message(origin: str, raw: bytes) -> Record:
-    return project(classify(origin, describe(flatten(raw))), raw=raw)
+def _before(path: str, after_byte: int | None) -> tuple[int, list[bytes]]:
+    """Where to go on (the begin of the record at ``after_byte``, or the end) and the last records before it.
+
+    Of a plain log only what lies shortly before is read.
+    """
+    plain = not path.endswith(".zst")
+    target = after_byte if after_byte is not None else os.path.getsize(path) if plain else float("inf")
+    cursor = aligned(path, int(min(target, os.path.getsize(path))) - LOOK_BACK_BYTES) if plain else 0
+    held: deque[tuple[int, bytes]] = deque(maxlen=LOOK_BACK)
+    for _, at, size, raw, _ in records(path, cursor):
+        if at + size > target:
+            break
+        held.append((at, raw))
+        cursor = at + size
+    return cursor, [raw for at, raw in held if cursor - at <= LOOK_BACK_BYTES]
+
+
+def _message(origin: str, raw: bytes, oversized: bool = False) -> Record:
+    r = describe(None if oversized else flatten(raw))
+    r.cut = oversized
+    return project(classify(origin, r), raw=raw)
 
 
 def _key(r: Record) -> tuple | None:

@@ -2,12 +2,15 @@
 
 import json
 import os
+import socket
 
 import pyarrow as pa
 import pytest
 
 from loomlog.plans import context
+from loomlog.plans import corpus as corpus_module
 from loomlog.plans.corpus import Corpus
+from loomlog.sources import lines as lines_module
 from loomlog.sources.discovery import app_of, collect, describe, fnv64, origin_of
 from loomlog.sources.jsonl import register
 from loomlog.sources.lines import read_range, records
@@ -176,3 +179,67 @@ def test_follow(tmp_path):
     p.write_text(p.read_text() + line(3, "assistant", "more") + line(5, "assistant", "new"))
     assert [m["text"] for m in follow(str(p), after_byte=second["after_byte"], seconds=0)["messages"]] == ["new"]
     assert follow(str(p), after_byte=0, seconds=0, sender="any", prefix="hi")["messages"][0]["sender"] == "human"
+
+
+def test_oversized_records_keep_their_beginning(spark, tmp_path, monkeypatch):
+    from loomlog.sources import lines
+
+    p = log(tmp_path, text=line(1) + line(2, text="long " + "x" * 500) + line(3))
+    monkeypatch.setattr(lines, "MOST_BYTES", 300)
+    monkeypatch.setattr(corpus_module, "records", lambda *a, **k: lines.records(*a, **k))
+    entry = corpus_module.Entry("s", "claude", "claude_main", str(p), "f", p.stat().st_size, 0, 0)
+    rows = [dict(zip(corpus_module._ARROW.names, r, strict=True)) for r in corpus_module._read(entry)]
+    assert [r["kind"] for r in rows] == ["user", "invalid", "user"] and rows[1]["body_cut"]
+    assert rows[1]["fields"] == [("/raw", line(2, text="long " + "x" * 500)[:300] + "…[truncated]")]
+    assert [m["text"] for m in follow(str(p), after_byte=0, seconds=0, sender="human")["messages"]] == ["hi", "hi"]
+
+
+def test_lease_of_a_dead_writer_is_taken_over(spark, tmp_path, monkeypatch):
+    log(tmp_path, text=line(1))
+    c = Corpus(spark, str(tmp_path / "corpus"))
+    lock = tmp_path / "corpus/LOCK"
+    lock.write_text(json.dumps({"host": socket.gethostname(), "pid": 2**22 - 3}))
+    assert c.sync([str(tmp_path / ".claude")])["read"] == 1 and not lock.exists()
+    lock.write_text(json.dumps({"host": "elsewhere", "pid": 1}))
+    with pytest.raises(RuntimeError):
+        c.sync([])
+    os.utime(lock, (1, 1))
+    c.sync([])
+    assert not lock.exists() and not list((tmp_path / "corpus").glob("LOCK*"))
+
+
+def test_rebuild_of_one_log_and_moves_within_an_app(spark, tmp_path):
+    a, b = log(tmp_path, "p/a.jsonl", line(1)), log(tmp_path, "p/b.jsonl", line(2))
+    c = Corpus(spark, str(tmp_path / "corpus"))
+    c.sync([str(tmp_path)])
+    ident = next(e.source_id for e in c.catalog().values() if e.path == str(a))
+    report = c.sync([], rebuild=[ident])
+    assert report["read"] == 1 and report["dispositions"] == {"source_rebuilt": 1, "complete": 1} and len(content(c)) == 2
+    other = tmp_path / ".codex/sessions/b.jsonl"
+    other.parent.mkdir(parents=True)
+    b.rename(other)
+    assert c.sync([])["moved"] == 0
+
+
+def test_originals_in_bulk(spark, tmp_path):
+    a = log(tmp_path, "p/a.jsonl", "".join(line(i) for i in range(200)))
+    z = a.with_name("z.jsonl.zst")
+    zst(z, "".join(line(i, text=f"é{i}") for i in range(50)).encode())
+    gone = log(tmp_path, "p/c.jsonl", line(1) + line(2))
+    c = Corpus(spark, str(tmp_path / "corpus"))
+    c.sync([str(tmp_path / ".claude")])
+    gone.write_text(line(1))
+    got = {(r["path"], r["line"]): bytes(r["raw"]).decode() if r["raw"] is not None else None for r in c.originals(c.events()).join(c.events().select("source_id", "event_index", "path", "line"), ["source_id", "event_index"]).collect()}
+    assert got[str(a), 117] == line(116) and got[str(z), 50] == line(49, text="é49") and got[str(gone), 1] == line(1) and got[str(gone), 2] is None and len(got) == 252
+
+
+def test_follow_reads_only_the_end(tmp_path, monkeypatch):
+    from loomlog.streaming import follow as f
+
+    p = log(tmp_path, text="".join(line(i) for i in range(5000)) + line(9, "assistant", "last"))
+    read = []
+    monkeypatch.setattr(f, "LOOK_BACK_BYTES", 2000)
+    monkeypatch.setattr(f, "records", lambda path, start=0: read.append(start) or lines_module.records(path, start))
+    assert not f.follow(str(p), seconds=0)["received"] and min(read) > p.stat().st_size - 4000
+    at = p.stat().st_size - len(line(9, "assistant", "last")) + 3
+    assert [m["text"] for m in f.follow(str(p), after_byte=at, seconds=0)["messages"]] == ["last"]
