@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..runtime import table
-from . import ask, commits, resume, said, search, sessions, timeline
+from . import ask, commits, joins, resume, said, search, sessions, timeline
 from .events import EVENTS_SQL, session_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ _TRIM = r"regexp_replace(human_text, '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\
 
 def query(sql: str | None = None):
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(session_events(table(spark, folder, "claude_session")))
+        QUERIES[f.__name__] = lambda spark, folder: f(session_events(table(spark, folder, "claude_session"), table(spark, folder, "sources")))
         if sql:
             SQL[f.__name__] = f"{WITH} {sql}"
         return f
@@ -75,12 +75,12 @@ def search_facets(ev: DataFrame) -> DataFrame:
     return search.facets(search.matches(ev, TERMS), ["source_id", "session", "kind", "sender", "event_date"])
 
 
-@query("SELECT event_index, instant_us FROM ev WHERE contains(text, 'flaky') ORDER BY instant_us DESC NULLS LAST, source_id DESC, event_index DESC LIMIT 50 OFFSET 20")
+@query("SELECT event_index, instant_us FROM ev WHERE contains(text, 'flaky') ORDER BY instant_us DESC NULLS LAST, nullif(written, '') DESC NULLS FIRST, source_id DESC, event_index DESC LIMIT 50 OFFSET 20")
 def search_page_desc(ev: DataFrame) -> DataFrame:
     return search.page(search.matches(ev, ["flaky"]), 50, 20, newest_first=True).select("event_index", "instant_us")
 
 
-@query("SELECT event_index, instant_us FROM ev WHERE contains(text, 'flaky') ORDER BY instant_us NULLS LAST, source_id, event_index LIMIT 50")
+@query("SELECT event_index, instant_us FROM ev WHERE contains(text, 'flaky') ORDER BY instant_us NULLS LAST, nullif(written, '') NULLS LAST, source_id, event_index LIMIT 50")
 def search_page_asc(ev: DataFrame) -> DataFrame:
     return search.page(search.matches(ev, ["flaky"]), 50).select("event_index", "instant_us")
 
@@ -90,6 +90,17 @@ def search_filters(ev: DataFrame) -> DataFrame:
     return search.where(ev, cwd="USERS", kind="command", sender="assistant", since="2026-01-01", until="2026-06-30", skip_imported=True).select("event_index", "kind", "sender")
 
 
+@query("SELECT event_index FROM ev WHERE role = 'user' AND instant_us >= 1769932800000000 AND instant_us <= 1774828799999999")
+def search_instants(ev: DataFrame) -> DataFrame:
+    return search.where(ev, role="user", since="2026-02-01T08:00:00Z", until="2026-03-30T01:59:59.999999", zone="Europe/Berlin").select("event_index")
+
+
+@query("""SELECT event_index, position, truncated, CASE WHEN truncated THEN 60 END AS next_offset FROM (SELECT event_index, row_number() OVER (ORDER BY instant_us NULLS LAST, nullif(written, '') NULLS LAST, source_id, event_index)::INTEGER AS position, count(*) OVER () > 60 AS truncated
+    FROM ev WHERE contains(text, 'migration')) WHERE position BETWEEN 21 AND 60""")
+def search_page_facts(ev: DataFrame) -> DataFrame:
+    return search.page_with_facts(search.matches(ev, ["migration"]), 40, 20).select("event_index", "position", "truncated", "next_offset")
+
+
 @own("SELECT raw_id, source_id, line_no, octet_length(encode(split_part(body, 'toolu_', 1))) AS at_byte FROM raw_records WHERE contains(body, 'toolu_')")
 def search_raw(spark: SparkSession, folder: str) -> DataFrame:
     return search.raw_matches(table(spark, folder, "raw_records"), "toolu_")
@@ -105,6 +116,19 @@ def history_page(ev: DataFrame) -> DataFrame:
     return search.date_page(search.history(search.matches(ev, TERMS)), 12)
 
 
+_DATES = " UNION ALL ".join(f"SELECT query, event_date, '{c}' AS facet, coalesce({c}, '') AS value, count(*) AS n FROM ({_IN}) GROUP BY ALL" for c in ("source_id", "session", "kind"))
+
+
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, event_date, facet ORDER BY n DESC, value)::INTEGER AS rank FROM ({_DATES})) WHERE rank <= 12")
+def history_facets(ev: DataFrame) -> DataFrame:
+    return search.history_facets(search.matches(ev, TERMS))
+
+
+@query(f"SELECT * FROM (SELECT query, event_date, count(*) AS matched FROM ({_IN}) GROUP BY query, event_date) ORDER BY matched DESC, event_date = 'undated', event_date DESC, query LIMIT 12")
+def history_busiest(ev: DataFrame) -> DataFrame:
+    return search.busiest_dates(search.history(search.matches(ev, TERMS))).select("query", "event_date", "matched")
+
+
 _BUSY = "(SELECT session FROM ev GROUP BY session ORDER BY count(*) DESC, session LIMIT 1)"
 
 
@@ -152,7 +176,8 @@ def output_bounded(ev: DataFrame) -> DataFrame:
 
 
 # --- the person's messages ----------------------------------------------------------------------------------
-_SAID = f", person AS (SELECT *, {_TRIM} AS said FROM ev WHERE human_text IS NOT NULL), firsts AS (SELECT *, row_number() OVER (PARTITION BY instant_us, said ORDER BY source_id, event_index) AS r, count(*) OVER (PARTITION BY instant_us, said) AS copies FROM person)"
+_COPY = "coalesce(instant_us::VARCHAR, 'as written: ' || coalesce(written, '')), CASE WHEN via = 'question_reply' THEN call_id END"
+_SAID = f", person AS (SELECT *, {_TRIM} AS said FROM ev WHERE human_text IS NOT NULL), firsts AS (SELECT *, row_number() OVER c AS r, count(*) OVER (PARTITION BY {_COPY}, said) AS copies FROM person WINDOW c AS (PARTITION BY {_COPY}, said ORDER BY source_id, event_index))"
 
 
 @query("SELECT event_index, session, via, human_text FROM ev WHERE human_text IS NOT NULL")
@@ -160,6 +185,12 @@ def said_list(ev: DataFrame) -> DataFrame:
     return said.person(ev).select("event_index", "session", "via", "human_text")
 
 
+@own(f"{WITH} SELECT event_index FROM ev WHERE human_text IS NOT NULL AND source_id IN (SELECT source_id FROM sources WHERE app = 'claude')")
+def said_of_app(spark: SparkSession, folder: str) -> DataFrame:
+    sources = table(spark, folder, "sources")
+    return said.of_app(said.person(session_events(table(spark, folder, "claude_session"), sources)), sources, "claude").select("event_index")
+
+
 @query(_SAID + " SELECT event_index, copies FROM firsts WHERE r = 1")
 def said_dedup(ev: DataFrame) -> DataFrame:
     return said.first_copies(said.person(ev)).select("event_index", "copies")
@@ -170,7 +201,7 @@ def said_page(ev: DataFrame) -> DataFrame:
     return said.page(said.person(ev)).select("event_index")
 
 
-_TALK = f""", talk0 AS (SELECT *, CASE WHEN human_text IS NOT NULL THEN {{'t': instant_us, 's': {_TRIM}}} END AS said FROM ev WHERE human_text IS NOT NULL OR reply_text IS NOT NULL),
+_TALK = f""", talk0 AS (SELECT *, CASE WHEN human_text IS NOT NULL THEN {{'t': coalesce(instant_us::VARCHAR, 'as written: ' || coalesce(written, '')), 's': {_TRIM}}} END AS said FROM ev WHERE human_text IS NOT NULL OR reply_text IS NOT NULL),
     talk1 AS (SELECT *, coalesce(said = last_value(said IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY line, event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS copy FROM talk0),
     talk AS (SELECT * FROM talk1 WHERE NOT copy)"""
 
@@ -196,8 +227,7 @@ def turn_assign(ev: DataFrame) -> DataFrame:
 
 @query("SELECT event_index, coalesce(cwd, last_value(cwd IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY line, event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS cwd FROM ev")
 def cwd_inherited(ev: DataFrame) -> DataFrame:
-    w = Window.partitionBy("source_id").orderBy("line", "event_index").rowsBetween(Window.unboundedPreceding, 0)
-    return ev.select("event_index", F.last("cwd", True).over(w).alias("cwd"))
+    return joins.carried(ev, "cwd", "source_id", ["line", "event_index"]).select("event_index", "cwd")
 
 
 # --- sessions -----------------------------------------------------------------------------------------------
@@ -244,19 +274,28 @@ def resume_compactions(ev: DataFrame) -> DataFrame:
     return resume.compactions(ev)
 
 
-@query(""", turns AS (SELECT *, coalesce(project, '') || ':' || kind AS turn FROM ev), isl AS (SELECT * FROM (SELECT *, turn IS DISTINCT FROM lag(turn) OVER (PARTITION BY session ORDER BY instant_us, line, event_index) AS new FROM turns) WHERE new),
-    by_turn AS (SELECT session, turn, max((instant_us, line, event_index)) AS place, count(*) AS islands FROM isl GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY place DESC) AS r FROM by_turn)
+@query(""", turns AS (SELECT *, coalesce(project, '') || ':' || kind AS turn FROM ev), isl AS (SELECT * FROM (SELECT *, turn IS DISTINCT FROM lag(turn) OVER (PARTITION BY session ORDER BY instant_us NULLS FIRST, line, event_index) AS new FROM turns) WHERE new),
+    by_turn AS (SELECT session, turn, max((coalesce(instant_us, -9e18::BIGINT), line, event_index)) AS place, count(*) AS islands FROM isl GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY place DESC) AS r FROM by_turn)
     SELECT session, max(CASE WHEN r = 1 THEN turn END) AS "current", max(CASE WHEN r = 2 THEN turn END) AS previous, max(CASE WHEN r = 1 THEN islands END) > 1 AS reentered FROM ranked WHERE r <= 2 GROUP BY session""")
 def resume_turns(ev: DataFrame) -> DataFrame:
     return resume.current_and_previous(ev.withColumn("turn", F.concat(F.coalesce("project", F.lit("")), F.lit(":"), "kind")))
 
 
+@query(""", turns AS (SELECT *, coalesce(project, '') || ':' || kind AS turn FROM ev), isl AS (SELECT * FROM (SELECT *, turn IS DISTINCT FROM lag(turn) OVER (PARTITION BY session ORDER BY instant_us NULLS FIRST, line, event_index) AS new FROM turns) WHERE new),
+    by_turn AS (SELECT session, turn, max((coalesce(instant_us, -9e18::BIGINT), line, event_index)) AS place, count(*) AS islands FROM isl GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY place DESC) AS r FROM by_turn),
+    mine AS (SELECT t.*, CASE r WHEN 1 THEN 'current' ELSE 'previous' END AS place, r = 1 AND islands > 1 AS again, row_number() OVER (PARTITION BY t.session, r ORDER BY instant_us DESC NULLS LAST, line DESC, event_index DESC) AS back FROM turns t JOIN ranked k ON k.session IS NOT DISTINCT FROM t.session AND k.turn = t.turn WHERE r <= 2)
+    SELECT session, place, turn, count(*) AS records, string_agg(CASE WHEN back <= 128 THEN event_index::VARCHAR END, ',' ORDER BY back DESC) AS last_events, coalesce(string_agg(DISTINCT cwd, chr(10) ORDER BY cwd), '') AS directories,
+        coalesce(string_agg(DISTINCT project, chr(10) ORDER BY project), '') AS projects, bool_or(coalesce(via IN ('turn_completed', 'completion') OR lower(coalesce(subtype, '')) IN ('turn_duration', 'task_complete', 'turn_complete', 'turn_completed'), false)) AS completed, bool_or(again) AS reentered FROM mine WHERE session IS NOT NULL GROUP BY ALL""")
+def resume_snapshots(ev: DataFrame) -> DataFrame:
+    rows = resume.snapshots(ev.withColumn("turn", F.concat(F.coalesce("project", F.lit("")), F.lit(":"), "kind")))
+    return rows.withColumn("last_events", F.array_join(F.transform("last_events", lambda x: x.cast("string")), ","))
+
+
 # --- questions, calls and answers -------------------------------------------------------------------------------
 @query(""", calls AS (SELECT session, call_id, min(event_index) AS call FROM ev WHERE kind = 'command' AND call_id IS NOT NULL GROUP BY ALL), answers AS (SELECT session, call_id, min(event_index) AS answer FROM ev WHERE kind = 'output' AND call_id IS NOT NULL GROUP BY ALL)
     SELECT session, call_id, call, answer FROM calls LEFT JOIN answers USING (session, call_id)""")
 def calls_answered(ev: DataFrame) -> DataFrame:
-    first = lambda kind, name: ev.filter((F.col("kind") == kind) & F.col("call_id").isNotNull()).groupBy("session", "call_id").agg(F.min("event_index").alias(name))
-    return first("command", "call").join(first("output", "answer"), ["session", "call_id"], "left")
+    return joins.answered(ev)
 
 
 # --- commits ------------------------------------------------------------------------------------------------------
@@ -452,8 +491,7 @@ def coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @own("SELECT hit_id, s.app AS log_app, s.log_path FROM hits h LEFT JOIN sources s USING (source_id)")
 def hits_with_source(spark: SparkSession, folder: str) -> DataFrame:
-    known = table(spark, folder, "sources").select("source_id", F.col("app").alias("log_app"), "log_path")
-    return table(spark, folder, "hits").join(known, "source_id", "left").select("hit_id", "log_app", "log_path")
+    return joins.with_source(table(spark, folder, "hits"), table(spark, folder, "sources")).select("hit_id", "log_app", "log_path")
 
 
 @own("SELECT term, count(DISTINCT hit_id) AS hits, count(DISTINCT session_id) AS sessions FROM (SELECT hit_id, session_id, unnest(terms) AS term FROM hits) GROUP BY term")
@@ -463,8 +501,8 @@ def hit_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 @own("SELECT e.event_id, e.user_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) < (e.ts, e.event_id)) AS last_purchase FROM events e")
 def asof_event(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, folder, "events").select("event_id", "user_id", F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(w).alias("last_purchase"))
+    rows = joins.as_of(table(spark, folder, "events"), F.col("event_type") == "purchase", "event_id", "user_id", ["ts", "event_id"], "last_purchase")
+    return rows.select("event_id", "user_id", "last_purchase")
 
 
 @own("SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice), 2) AS amount, count(*) AS calls FROM lineitem GROUP BY ALL")

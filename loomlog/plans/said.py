@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,15 +12,30 @@ def person(events: DataFrame) -> DataFrame:
     return events.filter((F.col("sender") == "human") & (F.col("human_text").isNotNull()))
 
 
+def of_app(messages: DataFrame, sources: DataFrame, app: str) -> DataFrame:
+    """Messages from the logs of one app."""
+    return messages.join(sources.filter(F.col("app") == app).select("source_id"), "source_id", "left_semi")
+
+
+def copy_key(events: DataFrame) -> list[Column]:
+    """What copies of a message share: the instant (as written where it can't be read), the trimmed text, and of an answer to a question the call it answers.
+
+    Two questions can get one answer at one time; those are two messages.
+    """
+    has = lambda c: c in events.columns
+    at = F.coalesce(F.col("instant_us").cast("string"), F.concat(F.lit("as written: "), F.coalesce("written" if has("written") else "timestamp" if has("timestamp") else F.lit(""), F.lit(""))))
+    answers = F.when(F.col("via") == "question_reply", F.col("call_id")) if has("call_id") else F.lit(None).cast("string")
+    return [at.alias("at"), T.strip(F.col("human_text")).alias("said"), answers.alias("answers")]
+
+
 def first_copies(messages: DataFrame) -> DataFrame:
-    """Of messages with one time and one trimmed text only the first, by source and index; how many there were as ``copies``.
+    """Of the copies of a message (``copy_key``) only the first, by source and index; how many there were as ``copies``.
 
     One aggregation with map-side folding, so a text that a third of all rows repeat is no one task's sort.
     """
-    key = [F.col("instant_us"), T.strip(F.col("human_text")).alias("said")]
     names = messages.columns
     order = F.struct("source_id", "event_index")
-    best = messages.groupBy(*key).agg(F.min(F.struct(order.alias("o"), F.struct(*names).alias("r"))).alias("b"), F.count("*").alias("copies"))
+    best = messages.groupBy(*copy_key(messages)).agg(F.min(F.struct(order.alias("o"), F.struct(*names).alias("r"))).alias("b"), F.count("*").alias("copies"))
     return best.select("b.r.*", "copies")
 
 
@@ -48,9 +63,9 @@ def _talk(events: DataFrame) -> DataFrame:
     """Person's messages and replies in log order, the message's own second writing left out."""
     w = Window.partitionBy("source_id").orderBy("line", "event_index")
     talk = events.filter((F.col("human_text").isNotNull() | F.col("reply_text").isNotNull()) & (F.col("via") != "imported"))
-    said = F.when(F.col("human_text").isNotNull(), F.struct("instant_us", T.strip(F.col("human_text")).alias("said")))
+    said = F.when(F.col("human_text").isNotNull(), F.struct(*copy_key(events)))
     before = F.last(said, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return talk.withColumn("said", said).withColumn("copy", F.coalesce(F.col("said") == before, F.lit(False))).filter(~F.col("copy")).drop("said", "copy")
+    return talk.withColumn("said", said).withColumn("copy", F.coalesce(F.col("said").isNotNull() & F.col("said").eqNullSafe(before), F.lit(False))).filter(~F.col("copy")).drop("said", "copy")
 
 
 def with_reply_before(events: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from .conftest import TESTDATA
 
 @pytest.fixture(scope="module")
 def ev(spark):
-    df = events.session_events(spark.read.parquet(f"{TESTDATA}/claude_session.parquet")).cache()
+    df = events.session_events(spark.read.parquet(f"{TESTDATA}/claude_session.parquet"), spark.read.parquet(f"{TESTDATA}/sources.parquet")).cache()
     yield df
     df.unpersist()  # else later plans would read it
 
@@ -45,9 +45,9 @@ def test_answer_with_quotes(ev):
     assert A.answer(ev, "flaky", writer=Writer({"answer": 1}, {"findings": []})).disposition == "evidence_only"
 
 
-def test_nothing_to_find(ev, session_rows):
+def test_nothing_to_find(ev, session_rows, zones):
     assert A.answer(ev, "zzzzzzzz").disposition == "no_evidence" and A.answer(ev, "").disposition == "no_terms"
-    assert A.answer(events.session_events(session_rows([])), "flaky").disposition == "no_evidence"
+    assert A.answer(events.session_events(session_rows([]), zones([])), "flaky").disposition == "no_evidence"
 
 
 def test_near_copies():
@@ -70,14 +70,14 @@ class Paraphrase:
         return [3 if "give up after" in t or (question.startswith("retry") and "forget that rule" in t) else 1 if "retry" in t else 0 for t in texts]
 
 
-def test_stages_of_the_answer(spark, session_rows):
+def test_stages_of_the_answer(spark, session_rows, zones):
     base = {"source_id": "a", "session_id": "s", "record_type": "user", "msg_role": "user", "item_type": "text"}
     reply = base | {"record_type": "assistant", "msg_role": "assistant"}
     rows = [base | {"item_text": "x" * 900 + " give up after three attempts " + "y" * 500, "written_at": "2024-01-01T00:00:00Z"}]
     rows += [base | {"item_text": f"retry {i}", "written_at": f"2024-03-01T00:{i:02}:00Z"} for i in range(5)]
     rows += [reply | {"item_text": f"retry reply {i}", "written_at": f"2024-{'01' if i == 0 else '03'}-02T00:{i:02}:00Z"} for i in range(5)]
     rows += [base | {"item_text": "forget that rule", "written_at": "2024-04-01T00:00:00Z"}]
-    ev = events.session_events(session_rows([r | {"record_id": i, "line_no": i, "uuid": str(i), "received_at": datetime.fromisoformat(r["written_at"])} for i, r in enumerate(rows)])).cache()
+    ev = events.session_events(session_rows([r | {"record_id": i, "line_no": i, "uuid": str(i), "received_at": datetime.fromisoformat(r["written_at"])} for i, r in enumerate(rows)]), zones([])).cache()
     # The month's quota keeps an old reply that the newest two leave out.
     found = A.candidates(ev, ["retry"], A.Options(agent_per_term=2)).collect()
     assert {r["event_date"][:7] for r in found if r["sender"] != "human"} == {"2024-01", "2024-03"}

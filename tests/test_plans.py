@@ -46,7 +46,7 @@ def test_entry(spark):
 
 @pytest.fixture(scope="module")
 def ev(spark):
-    df = events.session_events(spark.read.parquet(f"{TESTDATA}/claude_session.parquet")).cache()
+    df = events.session_events(spark.read.parquet(f"{TESTDATA}/claude_session.parquet"), spark.read.parquet(f"{TESTDATA}/sources.parquet")).cache()
     yield df
     df.unpersist()  # else later plans would read it
 
@@ -74,9 +74,9 @@ def test_bad_requests(ev):
             call()
 
 
-def test_null_and_empty_events(spark, session_rows):
-    nulls = events.session_events(session_rows([{}, {"record_id": 1, "record_type": "user"}, {"record_id": 2, "record_type": "user", "item_text": "", "session_id": "s"}]))
-    none = events.session_events(session_rows([]))
+def test_null_and_empty_events(spark, session_rows, zones):
+    nulls = events.session_events(session_rows([{}, {"record_id": 1, "record_type": "user"}, {"record_id": 2, "record_type": "user", "item_text": "", "session_id": "s"}]), zones([]))
+    none = events.session_events(session_rows([]), zones([]))
     assert [(r.kind, r.sender, r.event_date) for r in nulls.collect()] == [("unknown", "system", "undated"), ("user", "system", "undated"), ("user", "system", "undated")]
     for df in (nulls, none):
         for f in (said.with_reply_before, said.replies_after, said.turns):
