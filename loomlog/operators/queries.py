@@ -126,6 +126,11 @@ SQL = {
         JOIN f ON f.stream_key = a.stream_key AND f.file_no = a.file_no JOIN v x ON x.stream_key = a.stream_key AND x.file_no = f.before AND x.path = a.path JOIN v y ON y.stream_key = b.stream_key AND y.file_no = b.file_no AND y.path = b.path AND x.text = y.text)
     SELECT stream_key, file_no, change_kind, path AS field_path, '' AS new_path FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stream_key = c.stream_key AND r.file_no = c.file_no AND c.path IN (r.field_path, r.new_path))
     UNION ALL SELECT stream_key, file_no, 'renamed', field_path, new_path FROM r""",
+    "record_fields": _TREE
+    + """
+    p AS (SELECT raw_id, id, type, atom, '' AS ptr FROM nodes WHERE parent IS NULL
+        UNION ALL SELECT n.raw_id, n.id, n.type, n.atom, p.ptr || '/' || replace(replace(n.key, '~', '~0'), '/', '~1') FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id)
+    SELECT raw_id, (row_number() OVER (PARTITION BY raw_id ORDER BY id) - 1)::INTEGER AS place, ptr AS path, CASE WHEN type = 'NULL' THEN 'null' ELSE atom->>'$' END AS value, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM p WHERE type NOT IN ('ARRAY', 'OBJECT')""",
     "json_flatten": "SELECT event_id, '/k' AS path, json_extract_string(props, '$.k') AS value, 'number' AS kind FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "p6_found": f"""
         SELECT DISTINCT source_id, byte_start FROM source_records r WHERE ends_line AND NOT EXISTS (
@@ -138,3 +143,28 @@ SQL = {
             s AS (SELECT *, CASE WHEN ok THEN 'done' WHEN open AND until > (SELECT epoch_us(max(reported_at)) FROM source_changes) THEN 'leased' ELSE 'pending' END AS state FROM i)
         SELECT source_id, from_byte, to_byte, state, fencing_token, attempts, revision, CASE WHEN state = 'leased' THEN until / 1e6 END AS expires_at FROM s""",
 }
+
+
+def _entity_sql(where: str, columns: list[str]) -> str:
+    """An entity table whose columns are known; in the driver's tables a type is called type, blockType or kind."""
+    typed = "coalesce(" + ", ".join(f"max(CASE WHEN rel = '{c}' THEN text END)" for c in ("type", "type.name", "blockType", "kind")) + ")"
+    return (
+        _TREE.replace("SELECT r.raw_id", "SELECT t.value, r.raw_id")
+        + f"""
+    p AS (SELECT raw_id, stream_key, id, type, value, atom, '' AS ptr, '' AS owner, false AS element, NULL::BIGINT AS ordinal, NULL::BIGINT AS top, '' AS rel FROM nodes WHERE parent IS NULL
+        UNION ALL SELECT n.raw_id, n.stream_key, n.id, n.type, n.value, n.atom, p.ptr || '/' || replace(replace(n.key, '~', '~0'), '/', '~1'), CASE WHEN p.element THEN p.ptr ELSE p.owner END, p.type = 'ARRAY' AND n.type = 'OBJECT', CASE WHEN p.type = 'ARRAY' THEN n.key::BIGINT END,
+            CASE WHEN p.element THEN p.id WHEN p.type = 'OBJECT' THEN p.top END, CASE WHEN p.element THEN n.key WHEN p.type = 'OBJECT' THEN p.rel || '.' || n.key END FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id),
+    e AS (SELECT * EXCLUDE (rel) FROM p WHERE element), f AS (SELECT raw_id, top, rel, CASE WHEN type IN ('ARRAY', 'OBJECT') THEN value::VARCHAR ELSE atom->>'$' END AS text FROM p WHERE top IS NOT NULL AND type <> 'NULL' AND (type NOT IN ('ARRAY', 'OBJECT') OR value::VARCHAR IN ('[]', '{{}}'))),
+    w AS (SELECT e.raw_id, e.stream_key, e.ptr AS node, e.owner, e.ordinal, {typed} AS canonical_type, max(CASE WHEN rel = 'tool_use_id' THEN text END) AS answers, max(CASE WHEN rel = 'id' THEN text END) AS own,
+        {", ".join(f"max(CASE WHEN rel = '{c}' THEN text END) AS \"{c}\"" for c in columns)} FROM e LEFT JOIN f ON f.raw_id = e.raw_id AND f.top = e.id GROUP BY ALL),
+    calls AS (SELECT stream_key, own AS answers, min(raw_id) AS link FROM w WHERE own IS NOT NULL GROUP BY ALL)
+    SELECT raw_id, stream_key, node, owner, ordinal, coalesce(link, -1) AS link_raw_id, canonical_type, {", ".join(f'"{c}"' for c in columns)} FROM w LEFT JOIN calls USING (stream_key, answers) WHERE regexp_matches(node, '{where}')"""
+    )
+
+
+_BLOCK = ["type", "text", "blockType", "kind", "source.data", "source.encoding", "source.media_type", "type.name"]
+_ENTITY_COLUMNS = {
+    "items": ["type", "id", "tool_use_id", "name", "text", "is_error", "blockType", "caller.mode", "content", "input.command", "input.description", "input.file_path", "kind", "signature", "source.data", "source.encoding", "source.media_type", "thinking", "type.name"],
+    "blocks": _BLOCK, "questions": ["question", "header"], "options": ["label", "description"], "edits": ["old", "new", "old_string", "new_string"], "prompts": _BLOCK,
+}
+SQL |= {f"p2_{n}": _entity_sql(shred.ENTITIES[n][0], c) for n, c in _ENTITY_COLUMNS.items()}

@@ -401,7 +401,13 @@ def sweep_pieces(ev: DataFrame) -> DataFrame:
     return ask.sweep(ev, 100, 20, 150)
 
 
-@query()
+_WORDS = ["which", "flaky", "migration", "needs", "another", "reviewer"]
+
+
+@query(f""", p AS (SELECT event_index, human_text, length(human_text) AS n FROM ev WHERE human_text IS NOT NULL), starts AS (SELECT *, unnest(CASE WHEN n <= 150 THEN [0] ELSE range(0, 80 * ceil((n - 100) / 80.0)::BIGINT + 1, 80) END)::INTEGER AS start FROM p),
+    t AS (SELECT event_index, start, translate(CASE WHEN n <= 150 THEN human_text ELSE substring(human_text, start + 1, 100) END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS piece FROM starts),
+    c AS (SELECT event_index, start, least(3, {' + '.join(f"contains(piece, '{w}')::INTEGER" for w in _WORDS)}) AS score FROM t)
+    SELECT event_index, max(score) AS score, arg_min(start, (-score, start)) AS focus FROM c GROUP BY event_index""")
 def sweep_screened(ev: DataFrame) -> DataFrame:
     pieces = ask.sweep(ev, 100, 20, 150)
     return ask.best_piece(ask.screened(pieces, "Which flaky migration needs another reviewer", ask.LexicalScorer()))
