@@ -34,8 +34,8 @@ def p5_consistent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_values(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent table's scalars, under the paths they were written at."""
-    return drift.consistent(table(spark, folder, "raw_records")).filter("coalesce(as_string, cast(as_number as string), cast(as_boolean as string)) is not null").select("raw_id", "stream_key", "file_no", "written_path", "as_string", "as_number", "as_boolean")
+    """The consistent table's scalars: all of its columns but the canonical text."""
+    return drift.consistent(table(spark, folder, "raw_records")).filter("coalesce(as_string, cast(as_number as string), cast(as_boolean as string)) is not null").select("raw_id", "stream_key", "file_no", "path", "written_path", "ordinal", "as_string", "as_number", "as_boolean")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,18 +89,28 @@ COPIES_SQL = timed("SELECT *, written_at AS written FROM claude_session", "dated
     named AS (SELECT *, lower({bare_sql('uuid')}) AS own_id, coalesce(session_id, '') AS sess FROM dated),
     copies AS (SELECT *, row_number() OVER (PARTITION BY sess, own_id, CASE WHEN own_id = '' THEN {{'t': coalesce(record_type, ''), 'i': coalesce(instant_us::VARCHAR, ''), 'x': {bare_sql('item_text')}, 'c': {bare_sql('item_content')}}} END
         ORDER BY received_at NULLS LAST, record_id) AS copy_no FROM named)"""
+_DRIFT_SQL = (
+    _TREE
+    + r"""
+    p AS (SELECT raw_id, stream_key, file_no, id, type, atom, '' AS path FROM nodes WHERE parent IS NULL
+        UNION ALL SELECT n.raw_id, n.stream_key, n.file_no, n.id, n.type, n.atom, CASE WHEN p.type = 'ARRAY' THEN p.path || '[]' WHEN p.path = '' THEN n.key ELSE p.path || '.' || n.key END
+        FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id),
+    v AS (SELECT stream_key, file_no, path, CASE WHEN type = 'VARCHAR' THEN 's' WHEN type IN ('ARRAY', 'OBJECT', 'BOOLEAN') THEN type ELSE 'n' END AS kind, CASE WHEN type = 'VARCHAR' THEN atom END AS text FROM p WHERE path <> '' AND type <> 'NULL'),
+    s AS (SELECT stream_key, file_no, path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM v GROUP BY ALL),
+    f AS (SELECT stream_key, file_no, lag(file_no) OVER (PARTITION BY stream_key ORDER BY file_no) AS before FROM (SELECT DISTINCT stream_key, file_no FROM raw_records)),
+    o AS (SELECT f.stream_key, f.file_no, s.path, s.kinds FROM f JOIN s ON s.stream_key = f.stream_key AND s.file_no = f.before),
+    n AS (SELECT f.stream_key, f.file_no, s.path, s.kinds FROM f JOIN s ON s.stream_key = f.stream_key AND s.file_no = f.file_no WHERE before IS NOT NULL),
+    c AS (SELECT stream_key, file_no, path, CASE WHEN n.kinds IS NULL THEN 'removed' WHEN o.kinds IS NULL THEN 'added' ELSE 'retyped' END AS change_kind, regexp_replace(path, '(^|\.)[^.]*$', '') AS above
+        FROM o FULL JOIN n USING (stream_key, file_no, path) WHERE o.kinds IS DISTINCT FROM n.kinds),
+    r AS (SELECT DISTINCT a.stream_key, a.file_no, a.path AS field_path, b.path AS new_path FROM c a JOIN c b ON a.change_kind = 'removed' AND b.change_kind = 'added' AND a.stream_key = b.stream_key AND a.file_no = b.file_no AND a.above = b.above
+        JOIN f ON f.stream_key = a.stream_key AND f.file_no = a.file_no JOIN v x ON x.stream_key = a.stream_key AND x.file_no = f.before AND x.path = a.path JOIN v y ON y.stream_key = b.stream_key AND y.file_no = b.file_no AND y.path = b.path AND x.text = y.text)
+"""
+)
 SQL = {
     "p3_found": "WITH "
     + timed("SELECT 'claude_session' AS table_name, record_id AS row_key, source_id, written_at AS written FROM claude_session UNION ALL SELECT 'hits', hit_id, source_id, hit_at FROM hits", "dated")
     + f" SELECT table_name, row_key, instant_us FROM dated WHERE instant_us IS NOT NULL AND NOT regexp_matches(written, '{WRITTEN_WELL}')",
     "p7_found": f"WITH {COPIES_SQL} SELECT record_id FROM copies WHERE copy_no > 1",
-    "p5_values": _TREE
-    + """
-    p AS (SELECT raw_id, stream_key, file_no, id, type, atom, '' AS path FROM nodes WHERE parent IS NULL
-        UNION ALL SELECT n.raw_id, n.stream_key, n.file_no, n.id, n.type, n.atom, CASE WHEN p.type = 'ARRAY' THEN p.path || '[]' WHEN p.path = '' THEN n.key ELSE p.path || '.' || n.key END
-        FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id)
-    SELECT raw_id, stream_key, file_no, path AS written_path, CASE WHEN type = 'VARCHAR' THEN atom->>'$' END AS as_string, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN atom::DOUBLE END AS as_number, CASE WHEN type = 'BOOLEAN' THEN atom = 'true' END AS as_boolean
-    FROM p WHERE path <> '' AND type NOT IN ('NULL', 'ARRAY', 'OBJECT')""",
     "p2_found": _TREE
     + """
     p AS (SELECT raw_id, stream_key, id, type, '' AS ptr, '' AS owner, false AS element FROM nodes WHERE parent IS NULL
@@ -110,22 +120,21 @@ SQL = {
         LEFT JOIN nodes a ON a.raw_id = p.raw_id AND a.parent = p.id AND a.key = 'tool_use_id' AND a.type = 'VARCHAR' WHERE element),
     calls AS (SELECT stream_key, own AS answers, min(raw_id) AS link FROM e WHERE own IS NOT NULL GROUP BY ALL)
     SELECT raw_id, ptr AS child_path, owner AS parent_path, coalesce(link, -1) AS link_raw_id FROM e LEFT JOIN calls USING (stream_key, answers)""",
-    "p5_found": _TREE
-    + r"""
-    p AS (SELECT raw_id, stream_key, file_no, id, type, atom, '' AS path FROM nodes WHERE parent IS NULL
-        UNION ALL SELECT n.raw_id, n.stream_key, n.file_no, n.id, n.type, n.atom, CASE WHEN p.type = 'ARRAY' THEN p.path || '[]' WHEN p.path = '' THEN n.key ELSE p.path || '.' || n.key END
-        FROM p JOIN nodes n ON n.raw_id = p.raw_id AND n.parent = p.id),
-    v AS (SELECT stream_key, file_no, path, CASE WHEN type = 'VARCHAR' THEN 's' WHEN type IN ('ARRAY', 'OBJECT', 'BOOLEAN') THEN type ELSE 'n' END AS kind, CASE WHEN type = 'VARCHAR' THEN atom END AS text FROM p WHERE path <> '' AND type <> 'NULL'),
-    s AS (SELECT stream_key, file_no, path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM v GROUP BY ALL),
-    f AS (SELECT stream_key, file_no, lag(file_no) OVER (PARTITION BY stream_key ORDER BY file_no) AS before FROM (SELECT DISTINCT stream_key, file_no FROM raw_records)),
-    o AS (SELECT f.stream_key, f.file_no, s.path, s.kinds FROM f JOIN s ON s.stream_key = f.stream_key AND s.file_no = f.before),
-    n AS (SELECT f.stream_key, f.file_no, s.path, s.kinds FROM f JOIN s ON s.stream_key = f.stream_key AND s.file_no = f.file_no WHERE before IS NOT NULL),
-    c AS (SELECT stream_key, file_no, path, CASE WHEN n.kinds IS NULL THEN 'removed' WHEN o.kinds IS NULL THEN 'added' ELSE 'retyped' END AS change_kind, regexp_replace(path, '(^|\.)[^.]*$', '') AS above
-        FROM o FULL JOIN n USING (stream_key, file_no, path) WHERE o.kinds IS DISTINCT FROM n.kinds),
-    r AS (SELECT DISTINCT a.stream_key, a.file_no, a.path AS field_path, b.path AS new_path FROM c a JOIN c b ON a.change_kind = 'removed' AND b.change_kind = 'added' AND a.stream_key = b.stream_key AND a.file_no = b.file_no AND a.above = b.above
-        JOIN f ON f.stream_key = a.stream_key AND f.file_no = a.file_no JOIN v x ON x.stream_key = a.stream_key AND x.file_no = f.before AND x.path = a.path JOIN v y ON y.stream_key = b.stream_key AND y.file_no = b.file_no AND y.path = b.path AND x.text = y.text)
-    SELECT stream_key, file_no, change_kind, path AS field_path, '' AS new_path FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stream_key = c.stream_key AND r.file_no = c.file_no AND c.path IN (r.field_path, r.new_path))
-    UNION ALL SELECT stream_key, file_no, 'renamed', field_path, new_path FROM r""",
+    "p5_found": _DRIFT_SQL
+    + "SELECT stream_key, file_no, change_kind, path AS field_path, '' AS new_path FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stream_key = c.stream_key AND r.file_no = c.file_no AND c.path IN (r.field_path, r.new_path)) UNION ALL SELECT stream_key, file_no, 'renamed', field_path, new_path FROM r",
+    "p5_values": _DRIFT_SQL.rstrip()
+    + r""",
+    edges AS (SELECT a, b FROM (SELECT DISTINCT regexp_replace(field_path, '(\[\])+$', '') AS a, regexp_replace(new_path, '(\[\])+$', '') AS b FROM r) WHERE a <> b), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+    same AS (SELECT a, b FROM both_ways UNION SELECT s.a, e.b FROM same s JOIN both_ways e ON e.a = s.b),
+    held AS (SELECT path, count(*) AS files FROM (SELECT DISTINCT stream_key, file_no, regexp_replace(path, '(\[\])+$', '') AS path FROM s) GROUP BY path),
+    chief AS (SELECT a AS name, arg_min(regexp_extract(b, '[^.]*$'), (-files, b)) AS last FROM (SELECT a, b FROM same UNION SELECT a, a FROM same) JOIN held ON held.path = b GROUP BY a),
+    q AS (SELECT raw_id, id, type, '' AS written, '' AS path FROM nodes WHERE parent IS NULL
+        UNION ALL SELECT n.raw_id, n.id, n.type, CASE WHEN q.type = 'ARRAY' THEN q.written || '[]' WHEN q.written = '' THEN n.key ELSE q.written || '.' || n.key END,
+            CASE WHEN q.type = 'ARRAY' THEN q.path || '[]' ELSE CASE WHEN q.path = '' THEN '' ELSE q.path || '.' END || coalesce(c.last, n.key) END
+        FROM q JOIN nodes n ON n.raw_id = q.raw_id AND n.parent = q.id LEFT JOIN chief c ON q.type = 'OBJECT' AND c.name = CASE WHEN q.written = '' THEN n.key ELSE q.written || '.' || n.key END),
+    ord AS (SELECT *, (row_number() OVER (PARTITION BY raw_id, path ORDER BY id) - 1)::INTEGER AS ordinal FROM q WHERE written <> '' AND type <> 'NULL')
+    SELECT raw_id, stream_key, file_no, ord.path, written AS written_path, ordinal, CASE WHEN ord.type = 'VARCHAR' THEN nodes.atom->>'$' END AS as_string, CASE WHEN ord.type NOT IN ('VARCHAR', 'BOOLEAN') THEN nodes.atom::DOUBLE END AS as_number, CASE WHEN ord.type = 'BOOLEAN' THEN nodes.atom = 'true' END AS as_boolean
+    FROM ord JOIN nodes USING (raw_id, id) WHERE ord.type NOT IN ('ARRAY', 'OBJECT')""",
     "record_fields": _TREE
     + """
     p AS (SELECT raw_id, id, type, atom, '' AS ptr FROM nodes WHERE parent IS NULL
