@@ -121,3 +121,9 @@ def test_empty_and_clashing(spark, session_rows, zones, extra):
     one = session_rows([{"record_id": 1, "written_at": "1769854830", "source_id": None}], extra)
     assert [tuple(r) for r in timestamps.normalised(one, hits, zones([])).select("row_key", "instant_us").collect()] == [(1, 1769854830_000000)]
     assert timestamps.normalised(session_rows([], extra), hits, zones([])).count() == 0
+
+
+def test_many_sources_are_joined(spark, zones, monkeypatch):
+    """What is broadcast for few sources is a shuffled join for many, with the same instants."""
+    monkeypatch.setattr(timestamps, "is_small", lambda df: False)
+    test_every_form(spark, zones)
