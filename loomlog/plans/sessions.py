@@ -62,8 +62,11 @@ def number_events(events: DataFrame) -> DataFrame:
 def neighbours(events: DataFrame, wanted: DataFrame, before: int, after: int) -> DataFrame:
     """(hit, event_index, distance): events up to ``before`` before and ``after`` after each wanted one in its log.
 
-    Each wanted event is spread over the places it asks for, and those are met by an equi-join.
+    Each wanted event is spread over the places it asks for, and those are met by an equi-join. Where ``wanted``
+    names its logs only those are numbered.
     """
+    if "source_id" in wanted.columns:
+        events = events.join(wanted.select("source_id").distinct(), "source_id", "left_semi")
     numbered = number_events(events).select("source_id", "event_index", "n_in_log")
     hits = numbered.join(wanted.select("event_index"), "event_index", "left_semi")
     asked = hits.select("source_id", F.col("event_index").alias("hit"), F.col("n_in_log").alias("at"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("distance"))
