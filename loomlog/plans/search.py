@@ -132,7 +132,9 @@ def facets(hits: DataFrame, names: list[str], most: int = FACET_VALUES) -> DataF
     counted = _counted(hits, names, ["query"])
     rank = F.row_number().over(Window.partitionBy("query", "facet").orderBy(F.desc("n"), "value"))
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
-    return top.join(counted.groupBy("query", "facet").agg(F.count("*").alias("distinct_values")), ["query", "facet"]).select("query", "facet", "value", "n", "distinct_values")
+    # The sum keeps the counts in both branches, so that they are worked out once.
+    sizes = counted.groupBy("query", "facet").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("hits")).filter("hits > 0").drop("hits")
+    return top.join(sizes, ["query", "facet"]).select("query", "facet", "value", "n", "distinct_values")
 
 
 def history(hits: DataFrame) -> DataFrame:
