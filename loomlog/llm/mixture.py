@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.deliveries import bare
-from ..runtime import settle
+from ..runtime import discard, settle
 
 #: Public tokenizer and its file (a parameter; never part of this repository).
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -173,6 +173,8 @@ def _mix(documents: DataFrame, mix_targets: DataFrame, seed: int, total: int | N
 
     plans = settle(counts.groupBy("source").applyInArrow(plan, "source string, n_tokens long, passes long, extra long"), "plan")
     chosen = settle(_choose(lengths, plans, seed), "chosen")
+    for done in (lengths, counts, plans):
+        discard(done)
     report = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     report = targets.join(report, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
     mixed = report.agg(F.sum("tokens")).first()[0] or 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import settle
+from ..runtime import discard, settle
 
 #: Name parts that may be sent to every task; of more, each text gets its own by a join.
 MOST_HINTS = 100_000
@@ -582,6 +582,8 @@ def assign(found: DataFrame, key: str) -> DataFrame:
         done = kept if done is None else done.unionByName(kept)
         pending = drawn.join(kept.select("pii_kind", "entity"), ["pii_kind", "entity"], "left_anti")
         if not pending.limit(1).count():
+            discard(every)
+            discard(drawn)
             return done.select("pii_kind", "entity", "surrogate")
     rank = F.row_number().over(Window.partitionBy("pii_kind", "taken").orderBy("entity"))
     rest = pending.withColumn("surrogate", F.concat("surrogate", F.when(F.col("pii_kind").isin("name", "address"), " n").otherwise("-"), rank.cast("string")))

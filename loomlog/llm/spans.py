@@ -192,14 +192,13 @@ def graph(texts: DataFrame, length: int = SPAN) -> DataFrame:
     return nodes
 
 
-def places(texts: DataFrame, length: int = SPAN) -> DataFrame:
-    """(doc_id, part, ranges): the first places of the windows that tell where spans begin and end in a text.
+def places(g: DataFrame, length: int = SPAN) -> DataFrame:
+    """(doc_id, part, ranges) of a ``graph``: the first places of the windows that tell where spans begin and end in a text.
 
     At a node that forks in, spans begin between the node before it and itself; at one that forks out, they end
     between its end and that of the node after it. No window reaches over a node that others don't have.
     """
     k = sizes(length)[0]
-    g = graph(texts, length)
     w = Window.partitionBy("doc_id", "part").orderBy("at")
     before, after = F.lag("at").over(w) == F.col("last_at"), F.lead("at").over(w) == F.col("next_at")
     g = g.select("*", F.coalesce(before, F.lit(False)).alias("linked"), F.coalesce(after, F.lit(False)).alias("links"))
@@ -258,8 +257,10 @@ def _joined(held: list[list[np.ndarray]]) -> pa.RecordBatch:
 
 def _bounds(texts: DataFrame, length: int) -> DataFrame:
     """(doc_id, part, low, high): where spans begin and end in each text, by hashes."""
-    asked = texts.join(places(texts, length), ["doc_id", "part"]).select("doc_id", "part", "text", "ranges")
+    nodes = graph(texts, length)
+    asked = texts.join(places(nodes, length), ["doc_id", "part"]).select("doc_id", "part", "text", "ranges")
     every = settle(asked.mapInArrow(_windows(length), _WINDOWS_DDL), "windows")
+    discard(nodes)
     differ = lambda c: F.min(c) < F.max(c)
     shared = every.groupBy("span").agg(differ("doc_id").alias("shared"), differ("before").alias("left"), differ("after").alias("right")).filter("shared").drop("shared")
     seen = every.select("doc_id", "part", "at", "span").join(shared, "span").select("doc_id", "part", "at", "left", "right")
@@ -288,6 +289,7 @@ def shared_spans(documents: DataFrame, length: int = SPAN) -> DataFrame:
     cut = lambda x: F.substring(F.col("text"), (x["low"] + 1).cast("int"), (x["high"] - x["low"]).cast("int"))
     named = texts.join(held, ["doc_id", "part"]).select("doc_id", "part", F.explode(F.transform("pieces", lambda x: F.struct((x["low"] + 1).alias("start_at"), (x["high"] - x["low"]).alias("n_chars"), F.md5(cut(x)).alias("class_id")))).alias("x")).select("doc_id", "part", "x.*")
     named = settle(named, "named")
+    discard(pieces)
     classes = named.select("class_id", "doc_id").distinct().groupBy("class_id").agg(F.count("*").alias("documents")).filter("documents > 1")
     return named.join(classes, "class_id").select("doc_id", "part", "start_at", "n_chars", "class_id", "documents")
 

@@ -105,7 +105,7 @@ def test_a_passage_of_many_costs_rows_like_documents(spark, monkeypatch):
     p = word(5000)
     rows = [(i, word(100) + chr(0x4E00 + i) + p + chr(0x4E00 + i) + word(100)) for i in range(60)]
     texts = spans._texts(docs(spark, rows))
-    n = sum(x["b"] - x["a"] + 1 for r in spans.places(texts).collect() for x in r.ranges)
+    n = sum(x["b"] - x["a"] + 1 for r in spans.places(spans.graph(texts)).collect() for x in r.ranges)
     assert n < 60 * 600 and len(classes(rows)) == spans.shared_spans(docs(spark, rows)).count() == 60
     assert spans.shared_pairs(docs(spark, rows)).count() == 60 * 59 // 2
 
