@@ -67,7 +67,7 @@ def _replacement() -> str:
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, by integer arithmetic (all arguments bigint)."""
+    """Days since 1970-01-01 of a proleptic Gregorian date, by the public days-from-civil formula (all arguments bigint)."""
     div = lambda a, b: ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("bigint")
     y = y - (m <= 2).cast("bigint")
     era = div(y, 400)

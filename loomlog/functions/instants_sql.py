@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .instants import LETTERS, MONTHS
+
 _CLOCK, _CLOCK_NAMES = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?", ["h", "mi", "s", "f"]
-_ZONE = r"(?: ?(?:([Zz])|([+-])(\d{2})(?::?(\d{2}))?|(UTC|GMT|JST|CET|CEST|EST|EDT|PST|PDT)|([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)))?(?:\[([A-Za-z0-9_+/-]+)\])?"
+_ZONE = r"(?: ?(?:([Zz])|([+-])(\d{2})(?::?(\d{2}))?|(" + "|".join(LETTERS) + r")|([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)))?(?:\[([A-Za-z0-9_+/-]+)\])?"
 _ZONE_NAMES = ["z", "sg", "oh", "om", "l", "r", "b"]
-_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 _TAIL, _TAIL_NAMES = _CLOCK + _ZONE, [*_CLOCK_NAMES, *_ZONE_NAMES]
 #: name of a form -> its pattern and the names of its groups
 FORMS = {
@@ -13,11 +14,10 @@ FORMS = {
     "slashes": (rf"(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})(?:[Tt ]{_TAIL})?", ["y", "mo", "d", *_TAIL_NAMES]),
     "compact": (rf"(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})(?:(\d{{2}})(?:[.,](\d+))?)?{_ZONE}", ["y", "mo", "d", "h", "mi", "s", "f", *_ZONE_NAMES]),
     "month_first": (rf"(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})(?: {_CLOCK}(?: ?([AaPp])[Mm])?{_ZONE})?", ["mo", "d", "y", *_CLOCK_NAMES, "ap", *_ZONE_NAMES]),
-    "mail": (rf"(?:[A-Z][a-z]{{2}}, ?)?(\d{{1,2}}) ({'|'.join(_MONTHS)}) (\d{{4}}) {_TAIL}", ["d", "mo", "y", *_TAIL_NAMES]),
+    "mail": (rf"(?:[A-Z][a-z]{{2}}, ?)?(\d{{1,2}}) ({'|'.join(MONTHS)}) (\d{{4}}) {_TAIL}", ["d", "mo", "y", *_TAIL_NAMES]),
     "signs": (rf"(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日(?: ?{_TAIL})?", ["y", "mo", "d", *_TAIL_NAMES]),
 }
 _ALL = ["y", "mo", "d", *_CLOCK_NAMES, "ap", *_ZONE_NAMES]
-_OFFSETS = {"UTC": 0, "GMT": 0, "JST": 540, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240, "PST": -480, "PDT": -420}
 WRITTEN_WELL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$"
 
 
@@ -28,11 +28,11 @@ def timed(rows: str, out: str) -> str:
         for pattern, names in FORMS.values()
     )
     n = lambda k: f"try_cast(nullif(p_.{k}, '') AS BIGINT)"
-    letters = " ".join(f"WHEN '{k}' THEN {v}" for k, v in _OFFSETS.items())
+    letters = " ".join(f"WHEN '{k}' THEN {v}" for k, v in LETTERS.items())
     return f"""
     {out}_w AS (SELECT r.*, regexp_replace(r.written, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS w_, z.zone_ FROM ({rows}) r LEFT JOIN (SELECT source_id AS source_, min(zone_name) AS zone_ FROM sources GROUP BY source_id) z ON z.source_ = r.source_id),
     {out}_p AS (SELECT *, CASE {found} END AS p_, regexp_extract(w_, '^(\\d{{15,16}}|\\d{{12,13}}|\\d{{9,10}})(?:\\.(\\d+))?$', ['n', 'f']) AS n_ FROM {out}_w),
-    {out}_n AS (SELECT *, {n('y')} AS y_, coalesce(nullif(list_position({_MONTHS!r}, p_.mo), 0), {n('mo')}) AS mo_, {n('d')} AS d_, coalesce({n('mi')}, 0) AS mi_, coalesce({n('s')}, 0) AS s_,
+    {out}_n AS (SELECT *, {n('y')} AS y_, coalesce(nullif(list_position({MONTHS!r}, p_.mo), 0), {n('mo')}) AS mo_, {n('d')} AS d_, coalesce({n('mi')}, 0) AS mi_, coalesce({n('s')}, 0) AS s_,
         CASE WHEN p_.ap = '' THEN coalesce({n('h')}, 0) WHEN {n('h')} BETWEEN 1 AND 12 THEN {n('h')} % 12 + CASE WHEN lower(p_.ap) = 'p' THEN 12 ELSE 0 END END AS h_, rpad(substring(p_.f, 1, 6), 6, '0')::BIGINT AS f_,
         CASE WHEN p_.z <> '' THEN 0 WHEN p_.sg <> '' THEN CASE WHEN {n('oh')} <= 18 AND coalesce({n('om')}, 0) <= 59 THEN ({n('oh')} * 60 + coalesce({n('om')}, 0)) * CASE WHEN p_.sg = '-' THEN -1 ELSE 1 END END WHEN p_.l <> '' THEN CASE p_.l {letters} END END AS off_,
         p_.z <> '' OR p_.sg <> '' OR p_.l <> '' AS states_, coalesce(nullif(p_.r, ''), nullif(p_.b, ''), zone_, 'UTC') AS region_, rpad(substring(n_.f, 1, 6), 6, '0') AS nf_ FROM {out}_p),
